@@ -1,12 +1,15 @@
 """Training-data operators. Nothing else in the package imports this subpackage."""
 
-from quadrille.llm import mixing, sharding
+from quadrille.llm import mixing, quality, secret_scan, sharding
 
 QUERIES = {
+    "op7_line_frequency": quality.op7_line_frequency,
+    "op8_entropy_secrets": secret_scan.op8_entropy_secrets,
     "op9_feistel_shards": sharding.op9_feistel_shards,
     "op10_low_discrepancy_mix": mixing.op10_low_discrepancy_mix,
 }
 
 ORACLES = {
+    "op7_line_frequency": quality.OP7_SQL,
     "op10_low_discrepancy_mix": mixing.OP10_SQL,
 }
