@@ -1,8 +1,9 @@
 """Training-data operators. Nothing else in the package imports this subpackage."""
 
-from quadrille.llm import mixing, quality, secret_scan, sharding
+from quadrille.llm import decontaminate, mixing, quality, secret_scan, sharding
 
 QUERIES = {
+    "op1_fm_index": decontaminate.op1_fm_index,
     "op7_line_frequency": quality.op7_line_frequency,
     "op8_entropy_secrets": secret_scan.op8_entropy_secrets,
     "op9_feistel_shards": sharding.op9_feistel_shards,
@@ -10,6 +11,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_fm_index": decontaminate.OP1_SQL,
     "op7_line_frequency": quality.OP7_SQL,
     "op10_low_discrepancy_mix": mixing.OP10_SQL,
 }
