@@ -1,8 +1,9 @@
 """Training-data operators. Nothing else in the package imports this subpackage."""
 
-from quadrille.llm import decontaminate, mixing, quality, secret_scan, sharding
+from quadrille.llm import decontaminate, mixing, quality, secret_scan, sharding, simhash
 
 QUERIES = {
+    "op3_golay_simhash": simhash.op3_golay_simhash,
     "op1_fm_index": decontaminate.op1_fm_index,
     "op7_line_frequency": quality.op7_line_frequency,
     "op8_entropy_secrets": secret_scan.op8_entropy_secrets,
