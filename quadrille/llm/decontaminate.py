@@ -17,7 +17,7 @@ block that passes the bound starts the next pass over the documents.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -292,6 +292,43 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return joined.withColumn("spans", F.aggregate("spans", empty, add)).drop("row")
 
 
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the given word spans; what stood around a span is parted by a space."""
+    data = text.encode("utf-8", "surrogatepass")
+    words = [m.span() for m in re.finditer(rb"[^ ]+", data.translate(_WORDS))]
+    out, at = [], 0
+    for a, b in spans:
+        out.append(data[at : words[a][0]])
+        at = words[b - 1][1]
+    return b" ".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
+
+
+def remove_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with the benchmark's passages cut out of ``text_col``, other columns as they are; rows left without words by the cut go.
+
+    One pass over the documents for each block of the benchmark, without a shuffle.
+    """
+    spark, place = docs.sparkSession, docs.columns.index(text_col)
+    for block in _item_blocks(benchmark, block_words):
+        sent = spark.sparkContext.broadcast(Phrases(block, window))
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(place).to_pylist()
+                words = [words_of(t) for t in texts]
+                keep = np.ones(len(texts), bool)
+                for k, (a, b, _) in enumerate(search_shard(words, sent.value, window)):
+                    if len(a):
+                        texts[k] = cut(texts[k], merged_spans(a, b))
+                        keep[k] = bool(words_of(texts[k]))
+                columns = batch.columns
+                columns[place] = pa.array(texts, batch.column(place).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def op1_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document."""
     found = contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -180,6 +180,24 @@ def mixed(placed: DataFrame, plan: list[Source], columns: list[str]) -> DataFram
     return cut.join(slots, ["source_index", "block"], "left").withColumn("words", F.when(F.col("take") > F.col("from"), words)).select(*columns, "slot", "epoch", "words")
 
 
+def repeat_documents(docs: DataFrame) -> DataFrame:
+    """The mix in whole documents: a row of ``docs`` stands as often as slots take its first word, up to twice.
+
+    Columns stay as they are; rows without words go. Rows that agree in id, source and text share their
+    repeats, rounded up.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), text_or_empty())
+    sized = pinned(with_sizes(docs.select(key.alias("key"), "source", "text")).drop("text").filter("size > 0"))
+    plan = plan_sources(sized)
+    block = block_words(plan)
+    first = streams(sized, plan, id_col="key").select("key", "source_index", F.expr(f"start div {block}").alias("block"), F.expr(f"start % {block}").alias("from"))
+    taken = first.join(schedule(docs.sparkSession, plan, block), ["source_index", "block"]).filter(F.col("take") > F.col("from"))
+    times = taken.groupBy("key").agg(F.count("*").alias("n")).join(sized.groupBy("key").agg(F.count("*").alias("rows")), "key")
+    copies = times.select(F.col("key").alias("_mx_key"), F.ceil(F.col("n") / F.col("rows")).cast("int").alias("_mx_copies"))
+    found = docs.withColumn("_mx_own", key).join(copies, F.col("_mx_own") == F.col("_mx_key"))
+    return found.withColumn("_mx_at", F.explode(F.sequence(F.lit(1), F.col("_mx_copies")))).drop("_mx_own", "_mx_key", "_mx_copies", "_mx_at")
+
+
 def op10_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document. Texts are read once; ids, sources and sizes go on."""
     sized = pinned(with_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import pinned, table
@@ -87,21 +87,26 @@ def measures(text: str | None, source: str | None) -> dict:
     }
 
 
-_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, host long, text_hash long, lines array<long>, line_words array<int>"
-_ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("host", pa.int64()), ("text_hash", pa.int64()), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
+_SCHEMA = "row_key long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, host long, text_hash long, lines array<long>, line_words array<int>"
+_ARROW = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("host", pa.int64()), ("text_hash", pa.int64()), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000).to_pydict()
-            rows = [{"doc_id": i, **measures(t, s)} for i, s, t in zip(part["doc_id"], part["source"], part["text"], strict=True)]
+            rows = [{"row_key": k, "doc_id": i, **measures(t, s)} for k, i, s, t in zip(part["row_key"], part["doc_id"], part["source"], part["text"], strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
+def row_key() -> Column:
+    """What tells a document row from others; rows that agree in it get the same verdict."""
+    return F.xxhash64(F.col("doc_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.coalesce("text", F.lit("")))
+
+
 def measure_documents(docs: DataFrame) -> DataFrame:
     """One row a document with its base counts and line hashes (``doc_id``, ``source``, ``text`` are read)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_measured, _SCHEMA)
+    return docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_measured, _SCHEMA)
 
 
 def boilerplate(measured: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -124,6 +129,13 @@ def verdicts(measured: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS
     return rows.drop("lines", "line_words").join(lost, "_row", "left").withColumn("left_words", left.cast("long")).withColumn("kept", kept).drop("_row", "_lost")
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rejected rows; the columns stay as they are."""
+    judged = verdicts(pinned(measure_documents(docs)))
+    rejected = judged.filter(~F.col("kept")).select("row_key").distinct()
+    return docs.withColumn("_q_key", row_key()).join(rejected, F.col("_q_key") == rejected["row_key"], "left_anti").drop("_q_key")
+
+
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     judged = verdicts(pinned(measure_documents(table(spark, sf_dir, "documents"))))
