@@ -1,8 +1,9 @@
 """Training-data operators. Nothing else in the package imports this subpackage."""
 
-from quadrille.llm import decontaminate, mixing, quality, secret_scan, sharding, simhash
+from quadrille.llm import decontaminate, license_scan, mixing, quality, secret_scan, sharding, simhash
 
 QUERIES = {
+    "op6_license_sentences": license_scan.op6_license_sentences,
     "op3_golay_simhash": simhash.op3_golay_simhash,
     "op1_fm_index": decontaminate.op1_fm_index,
     "op7_line_frequency": quality.op7_line_frequency,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_license_sentences": license_scan.OP6_SQL,
     "op1_fm_index": decontaminate.OP1_SQL,
     "op7_line_frequency": quality.OP7_SQL,
     "op10_low_discrepancy_mix": mixing.OP10_SQL,
