@@ -1,8 +1,9 @@
 """Training-data operators. Nothing else in the package imports this subpackage."""
 
-from quadrille.llm import decontaminate, license_scan, mixing, quality, secret_scan, sharding, simhash
+from quadrille.llm import decontaminate, license_scan, lm_scoring, mixing, quality, secret_scan, sharding, simhash
 
 QUERIES = {
+    "op2_cross_entropy_difference": lm_scoring.op2_cross_entropy_difference,
     "op6_license_sentences": license_scan.op6_license_sentences,
     "op3_golay_simhash": simhash.op3_golay_simhash,
     "op1_fm_index": decontaminate.op1_fm_index,
