@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import table
 from quadrille.llm.decontaminate import words_of
 
-VOCABULARY, BIGRAMS, MASS = 65_000, 1 << 20, 20.0
+VOCABULARY, BIGRAMS, MASS = 65_000, 1 << 18, 20.0
 #: Labelled ids that are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Distinct words, and tokens, that a task gathers before it passes counts on.
