@@ -129,11 +129,32 @@ def verdicts(measured: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS
     return rows.drop("lines", "line_words").join(lost, "_row", "left").withColumn("left_words", left.cast("long")).withColumn("kept", kept).drop("_row", "_lost")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows; the columns stay as they are."""
-    judged = verdicts(pinned(measure_documents(docs)))
-    rejected = judged.filter(~F.col("kept")).select("row_key").distinct()
-    return docs.withColumn("_q_key", row_key()).join(rejected, F.col("_q_key") == rejected["row_key"], "left_anti").drop("_q_key")
+def keep_good(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
+    """``docs`` without the rejected rows; the columns stay as they are.
+
+    While the boilerplate's hashes are few enough to be sent to the tasks, texts don't move: a second
+    pass measures them again and filters. Beyond ``BROADCAST_ROWS`` the verdicts are joined by shuffle.
+    """
+    measured = pinned(measure_documents(docs))
+    found = pinned(boilerplate(measured, share, min_docs))
+    if found.count() > BROADCAST_ROWS:
+        rejected = verdicts(measured, share, min_docs, min_words, min_left).filter(~F.col("kept")).select("row_key").distinct()
+        return docs.withColumn("_q_key", row_key()).join(rejected, F.col("_q_key") == rejected["row_key"], "left_anti").drop("_q_key")
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(r.line for r in found.collect()))
+    at, host = docs.columns.index("text"), docs.columns.index("source")
+
+    def good(text: str | None, source: str | None) -> bool:
+        m = measures(text, source)
+        left = m["n_words"] - sum(w for h, w in zip(m["lines"], m["line_words"], strict=True) if h in sent.value)
+        return not m["base_failed"] and left >= min_words and left >= min_left * m["n_words"]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                yield part.filter(pa.array([good(t.as_py(), s.as_py()) for t, s in zip(part.column(at), part.column(host), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
