@@ -1,8 +1,9 @@
 """Training-data operators. Nothing else in the package imports this subpackage."""
 
-from quadrille.llm import decontaminate, license_scan, line_dedup, lm_scoring, mixing, quality, secret_scan, sharding, simhash
+from quadrille.llm import decontaminate, license_scan, line_dedup, lm_scoring, mixing, quality, secret_scan, sharding, simhash, suffix_dedup
 
 QUERIES = {
+    "op4_suffix_levels": suffix_dedup.op4_suffix_levels,
     "op5_segment_edit_join": line_dedup.op5_segment_edit_join,
     "op2_cross_entropy_difference": lm_scoring.op2_cross_entropy_difference,
     "op6_license_sentences": license_scan.op6_license_sentences,
