@@ -64,7 +64,7 @@ def line_samples(points: list[Point], spacing: float, sx: float = 1.0, sy: float
         raise ValueError(f"more than {most} samples")
     out = []
     for k in range(n):
-        d = total if k == n - 1 else k * spacing
+        d = float(total if k == n - 1 else k * spacing)
         rest, j = d, 0
         while j < len(lengths) - 1 and rest > lengths[j]:
             rest -= lengths[j]
