@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_suffix_levels": suffix_dedup.OP4_SQL,
     "op6_license_sentences": license_scan.OP6_SQL,
     "op1_fm_index": decontaminate.OP1_SQL,
     "op7_line_frequency": quality.OP7_SQL,

@@ -231,3 +231,17 @@ def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cut_spans(docs, repeated_spans(docs))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
     return cut.select("doc_id", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS k FROM (SELECT r, h, unnest(range(0, greatest(0, len(h) // 2 - {LENGTH - 1}))) AS i FROM d)),
+x AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY r, i) AS n FROM w) WHERE n > 1),
+s AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS b FROM x),
+g AS (SELECT r, i, sum(b) OVER (PARTITION BY r ORDER BY i) AS g FROM s),
+t AS (SELECT r, g, min(i) AS a, max(i) + {LENGTH} AS e FROM g GROUP BY r, g),
+p AS (SELECT r, g, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY g), 0) AS f FROM t),
+q AS (SELECT r, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY g) AS pre, max(e) AS tail, sum(e - a) AS n_removed, count(*) AS n_spans FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(pre, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN q USING (r)
+"""
