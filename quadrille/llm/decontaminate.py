@@ -10,7 +10,7 @@ located by stepping to the next sampled position, mapped to documents, and merge
 A phrase is a window of ``WINDOW`` consecutive words of an item, or the whole of a shorter item.
 
 Defined results: null and wordless texts and items have no words and no hits; null ids pass
-through; repeated rows are judged apart; an empty benchmark hits nothing. Documents don't move:
+through; repeated rows are judged apart; an empty benchmark hits nothing; a null item id is the empty string. Documents don't move:
 only the benchmark's phrases are sent to the tasks, in blocks of ``BLOCK_WORDS`` words of items, and a
 block that passes the bound starts the next pass over the documents.
 """
@@ -234,7 +234,7 @@ _OUT = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.in
 def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
     """Items in blocks; each row comes to the driver alone, and no more than a block is held."""
     block, held = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
+    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
         block.append((r.i, r.t))
         held += len(words_of(r.t))
         if held >= block_words:

@@ -35,7 +35,7 @@ def test_search_equals_brute_force():
 
 def test_blocks_and_nulls(spark):
     docs = spark.createDataFrame([(1, "A b c! d e", "x"), (1, "A b c! d e", "x"), (None, None, None), (4, "", "y")], "doc_id long, text string, row string")
-    bench = spark.createDataFrame([(7, "a B"), (8, "c d"), (9, None), (10, "q")], "item_id long, text string")
+    bench = spark.createDataFrame([(7, "a B"), (8, "c d"), (9, None), (10, "q"), (None, "zz")], "item_id long, text string")
     for block in (1, 1000):
         rows = sorted((r.doc_id or 0, r.n_words, [(s["from"], s["to"]) for s in r.spans], r["items"]) for r in d.contaminated_spans(docs, bench, block_words=block).collect())
         assert rows == [(0, 0, [], []), (1, 5, [(0, 4)], ["7", "8"]), (1, 5, [(0, 4)], ["7", "8"]), (4, 0, [], [])]
