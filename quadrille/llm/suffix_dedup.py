@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import stored, table
 
 LENGTH, GRAM = 100, 32
-#: Bits of the bitmap at most (64 MB), bits for each repeated hash, anchors of a bucket, and anchors of a batch.
-BITMAP_BITS, BITS_EACH, BUCKET, BATCH = 1 << 29, 16, 30_000, 4_000
+#: Bits of the bitmap at most (32 MB), bits for each repeated hash, anchors of a bucket, and anchors of a batch.
+BITMAP_BITS, BITS_EACH, BUCKET, BATCH = 1 << 28, 8, 30_000, 4_000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -141,9 +141,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if bits <= BITMAP_BITS:
         place = F.col("kh").bitwiseAND(bits - 1)
         words = repeated.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((kh & {bits - 1}L) & 63 AS INT))")).alias("b"))
-        found = words.toPandas()
+        found = words.toArrow()
         bitmap = np.zeros(bits // 64, np.uint64)
-        bitmap[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
+        bitmap[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
         sent = spark.sparkContext.broadcast(bitmap)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
