@@ -1,66 +1,78 @@
 """Language-model scoring by cross-entropy difference.
 
 A target model (documents labelled of good quality) and a background model (all documents) are
-interpolated bigram models of the same order and smoothing over one shared vocabulary; each
-token's loss under the one less its loss under the other, averaged over a document, is its score
-(below zero: more like the target).
+interpolated bigram models of the same order and smoothing over one shared vocabulary, which is
+every word of the corpus; each token's loss under the one less its loss under the other, averaged over
+a document, is its score (below zero: more like the target).
 
-Counts cover all documents and meet pre-aggregated. The vocabulary holds the words of the highest
-counts, ``VOCABULARY`` at most, other words are one unknown word; of the bigrams, those counted
-at least twice and at least as often as lets ``BIGRAMS`` of them in. These two parameters bound what is
-broadcast. A bigram's probability is ``(c(v, w) + MASS * p(w)) / (c(v) + MASS)``, a word's
-``(c(w) + 1) / (N + V)``; bigrams that are not held count as unseen in both models.
+A word's probability is ``p(w) = (c(w) + MASS * b(w)) / (N + MASS)`` with its share ``b(w)`` of all
+words (so it is that share in the background), a bigram's ``(c(v, w) + MASS * p(w)) / (c(v) + MASS)``.
+Bigrams that stand fewer than ``LEAST`` times in the corpus count as unseen in both models, at every
+size of the corpus. Neither words nor bigrams are capped, and no model is sent to the tasks:
+
+1. Documents are encoded in blocks (a block's distinct words once, tokens as numbers) and written.
+2. A block asks for its distinct words and bigrams, by 64-bit hash, with its own counts. Questions are
+   packed by ranges of hashes (buckets), whose number grows with the corpus.
+3. A bucket adds the counts up and answers each block, in the order of its question.
+4. Answers meet their block, which scores its documents.
+
+A word as frequent as can be is asked for once a block, so no key is hot. A task holds one block
+or one bucket.
 
 Defined results: null and wordless texts have no tokens, null losses and score; null ids are
 never labelled; repeated rows are counted and scored each; repeated labels count once; without any
-labelled document the target model is uniform. Other columns are not read.
+labelled document the target model is the words' shares. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import table
+from quadrille.llm.common import stored, table
 from quadrille.llm.decontaminate import words_of
 
-VOCABULARY, BIGRAMS, MASS = 65_000, 1 << 18, 20.0
+MASS, LEAST = 20.0, 2
 #: Labelled ids that are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-#: Distinct words, and tokens, that a task gathers before it passes counts on.
-HELD_WORDS, HELD_TOKENS = 300_000, 4_000_000
+#: Tokens and documents after which a block ends, and tokens of the corpus for each bucket.
+BLOCK_TOKENS, BLOCK_DOCS, BUCKET_TOKENS = 4_000_000, 100_000, 500_000
+
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_BLOCK = "block long, ids array<long>, sizes array<long>, target array<boolean>, n_words long, words binary, n_tokens long, n_target long, tokens binary"
+_ASK = "bucket long, block long, size long, keys binary, n binary, t binary"
+_TELL = "block long, bucket long, size long, n binary, t binary"
+_SCORE = "doc_id long, n_tokens long, background_bits double, target_bits double, score double"
+_ARROW = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (c.split(" ") for c in ddl.split(", "))])
 
 
-@dataclass(frozen=True)
-class Model:
-    """Two count models over the words ``ids``; id 0 begins and ends a document, 1 is the unknown word."""
+def pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    return pa.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
 
-    ids: dict[bytes, int]
-    unigram: np.ndarray  # 2 x V counts: background, target
-    keys: np.ndarray  # sorted bigram keys, previous * V + next
-    bigram: np.ndarray  # 2 x keys counts
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        return np.fromiter((get(w, 1) for w in words), np.int64, len(words))
+def unpack(data: bytes, size: int, kind: type) -> np.ndarray:
+    if not size:
+        return np.zeros(0, kind)
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, size * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).reshape(-1)
 
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """Bits of each token and of the end, under both models."""
-        v = self.unigram.shape[1]
-        before, after = np.append(0, ids), np.append(ids, 0)
-        key = before * v + after
-        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        held = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
-        pair = np.where(held, self.bigram[:, at], 0) if len(self.keys) else np.zeros((2, len(key)))
-        total = self.unigram.sum(1, keepdims=True)
-        p = (self.unigram[:, after] + 1) / (total + v)
-        return -np.log2((pair + MASS * p) / (self.unigram[:, before] + MASS))
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for m in _MIX[1:]:
+        x = (x ^ (x >> np.uint64(30))) * m
+    return x ^ (x >> np.uint64(31))
 
 
 def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -71,116 +83,143 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return slim.join(side, slim["doc_id"] == side["_lm_id"], "left").select("doc_id", "text", F.col("_lm_id").isNotNull().alias("target"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word`` (bytes; empty: documents with words), ``n`` in all documents and ``t`` in the target's."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("t", pa.int64())])
+def encoded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of ``docs`` (see :func:`flagged`). Each document with words ends with word 0, the empty one."""
+    schema = _schema(_BLOCK)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, target = Counter(), Counter()
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        seen, ids, sizes, target, tokens, held = {b"": 0}, [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(every), pa.binary()), pa.array(list(every.values()), pa.int64()), pa.array([target[w] for w in every], pa.int64())], schema=schema)
+            words = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
+            own = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
+            row = (number, ids, sizes, target, len(words), pack(words), len(own), sum(s for s, g in zip(sizes, target, strict=True) if g), pack(own))
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema=schema)
 
         for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for i, text, good in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = words_of(text.as_py())
                 if words:
                     words.append(b"")
-                    every.update(words)
-                    if good:
-                        target.update(words)
-                if len(every) > HELD_WORDS:
-                    yield out()
-                    every, target = Counter(), Counter()
-        yield out()
-
-    return docs.select("text", "target").mapInArrow(count, "word binary, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def _threshold(counts: DataFrame, room: int, least: int) -> int:
-    """The least count, at least ``least``, that no more than ``room`` rows reach. The table of counts is short: it has as many rows as there are different counts."""
-    steps = counts.filter(F.col("n") >= least).groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toLocalIterator()
-    held, found = 0, None
-    for step in steps:
-        held += step["rows"]
-        if held > room:
-            break
-        found = step["n"]
-    return found if found is not None else 1 << 62
-
-
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Model:
-    """Both models of ``docs`` (see :func:`flagged`)."""
-    counts = word_counts(docs).persist()
-    words = counts.filter("word != X''")
-    top = words.filter(F.col("n") >= _threshold(words, vocabulary, 1)).orderBy(F.desc("n"), "word").toPandas()
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    ends = counts.filter("word = X''").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    counts.unpersist()
-    known = top[["n", "t"]].to_numpy(np.int64).T
-    unigram = np.concatenate([np.array([[ends[0], total[0] - known[0].sum()], [ends[1], total[1] - known[1].sum()]], np.int64), known], axis=1)
-    ids = {bytes(w): i + 2 for i, w in enumerate(top["word"])}
-    v = unigram.shape[1]
-    sent = docs.sparkSession.sparkContext.broadcast(ids)
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent.value.get
-        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
-        tokens = 0
-
-        def out() -> pa.RecordBatch:
-            parts = {g: np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.int64),) * 2 for g, x in held.items()}
-            keys = np.union1d(parts[False][0], parts[True][0])
-            n, t = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            for good, (k, c) in parts.items():
-                at = np.searchsorted(keys, k)
-                n[at] += c
-                if good:
-                    t[at] += c
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(t)], schema=schema)
-
-        for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text.as_py())
-                if not words:
-                    continue
-                x = np.fromiter((get(w, 1) for w in words), np.int64, len(words))
-                held[good].append(np.append(0, x) * v + np.append(x, 0))
-                tokens += len(words)
-                if tokens > HELD_TOKENS:
+                    tokens.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
+                ids.append(i)
+                sizes.append(len(words))
+                target.append(good)
+                held += len(words)
+                if held >= block_tokens or len(ids) >= BLOCK_DOCS:
                     yield out()
-                    held, tokens = {False: [], True: []}, 0
-        yield out()
-
-    pairs = docs.select("text", "target").mapInArrow(count, "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter("n > 1").persist()
-    held = pairs.filter(F.col("n") >= _threshold(pairs, bigrams, 2)).toPandas().sort_values("key")
-    pairs.unpersist()
-    return Model(ids, unigram, held["key"].to_numpy(np.int64), held[["n", "t"]].to_numpy(np.int64).T.copy())
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, n_tokens, background_bits, target_bits, score`` of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("background_bits", pa.float64()), ("target_bits", pa.float64()), ("score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
+                    number += 1
+                    seen, ids, sizes, target, tokens, held = {b"": 0}, [], [], [], [], 0
+        if ids:
+            yield out()
+
+    return docs.select("doc_id", "text", "target").mapInArrow(encode, _BLOCK)
+
+
+class Block:
+    """A block's tokens and its distinct bigrams; the order of its questions is that of their hashes."""
+
+    def __init__(self, row: dict):
+        self.ids, self.sizes, self.target = row["ids"], np.array(row["sizes"], np.int64), np.array(row["target"], bool)
+        self.words = unpack(row["words"], row["n_words"], np.uint64)
+        self.after = unpack(row["tokens"], row["n_tokens"], np.int32).astype(np.int64)
+        before = np.append(0, self.after)[:-1]
+        codes, self.pair = np.unique(before * len(self.words) + self.after, return_inverse=True)
+        self.v, self.w = codes // len(self.words), codes % len(self.words)
+        with np.errstate(over="ignore"):
+            pairs = _mixed(_mixed(self.words[self.v] + _MIX[0]) + self.words[self.w])
+            keys = np.concatenate((pairs, _mixed(self.words)))
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def counts(self, weights: np.ndarray | None) -> np.ndarray:
+        """Counts of the bigrams and words, in the order of questions."""
+        both = [np.bincount(x, weights, n) for x, n in ((self.pair, len(self.v)), (self.after, len(self.words)))]
+        return np.concatenate(both)[self.order].astype(np.int64)
+
+    def bits(self, n: np.ndarray, t: np.ndarray, total: tuple[int, int], least: int) -> np.ndarray:
+        """Loss of each distinct bigram under both models, by the corpus's counts in the order of questions."""
+        found = np.empty((2, len(self.order)))
+        found[:, self.order] = n, t
+        pair, word = np.split(found, [len(self.v)], axis=1)
+        pair = np.where(pair[0] >= least, pair, 0)
+        share = word[0] / total[0]
+        p = (word + MASS * share) / (np.array([total]).T + MASS)
+        return -np.log2((pair + MASS * p[:, self.w]) / (word[:, self.v] + MASS))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Rows of equal ``key``, which come one after another."""
+    held: list[dict] = []
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
+            if held and held[0][key] != row[key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def answers(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Corpus counts of what each block asks for, by block and bucket; ``buckets`` is a power of two."""
+    bits, ask, tell = buckets.bit_length() - 1, _schema(_ASK), _schema(_TELL)
+
+    def question(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (row,) in _grouped(batches, "block"):
+            b = Block(row)
+            bucket = b.keys >> np.uint64(64 - bits) if bits else np.zeros(len(b.keys), np.uint64)
+            start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            n, t = b.counts(None), b.counts(np.repeat(b.target, b.sizes).astype(float))
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = m.encode(words_of(text.as_py()))
-                if len(ids):
-                    bits = m.losses(ids)
-                    rows.append((i, len(ids), *bits.mean(1).tolist(), float((bits[1] - bits[0]).mean())))
-                else:
-                    rows.append((i, 0, None, None, None))
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, background_bits double, target_bits double, score double")
+            for a, e in zip(start.tolist(), [*start[1:].tolist(), len(bucket)], strict=True):
+                keys = np.diff(b.keys[a:e], prepend=np.uint64(0))
+                rows.append((int(bucket[a]), row["block"], e - a, pack(keys), pack(n[a:e]), pack(t[a:e])))
+            yield _rows(rows, ask)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, "bucket"):
+            keys = np.concatenate([np.cumsum(unpack(r["keys"], r["size"], np.uint64), dtype=np.uint64) for r in rows])
+            _, at = np.unique(keys, return_inverse=True)
+            n, t = (np.bincount(at, np.concatenate([unpack(r[c], r["size"], np.int64) for r in rows])).astype(np.int64)[at] for c in ("n", "t"))
+            ends = np.cumsum([r["size"] for r in rows])[:-1]
+            yield _rows([(r["block"], r["bucket"], r["size"], pack(x), pack(y)) for r, x, y in zip(rows, np.split(n, ends), np.split(t, ends), strict=True)], tell)
+
+    parts = min(buckets, max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 16))
+    return blocks.mapInArrow(question, _ASK).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _TELL)
+
+
+def score(docs: DataFrame, least: int = LEAST, block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """``doc_id, n_tokens, background_bits, target_bits, score`` of every row of ``docs`` (see :func:`flagged`)."""
+    blocks, schema = stored(encoded(docs, block_tokens)), _schema(_SCORE)
+    n_blocks, *total = blocks.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    buckets = 1 << (total[0] // bucket_tokens).bit_length()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, *told in _grouped(batches, "block"):
+            b = Block(first)
+            n, t = (np.concatenate([unpack(r[c], r["size"], np.int64) for r in told]) if told else np.zeros(0, np.int64) for c in ("n", "t"))
+            full = np.flatnonzero(b.sizes)
+            mean = np.zeros((2, 0))
+            if len(full):
+                starts = (np.cumsum(b.sizes) - b.sizes)[full]
+                mean = np.add.reduceat(b.bits(n, t, total, least)[:, b.pair], starts, axis=1) / b.sizes[full]
+            rows = [(i, 0, None, None, None) for i in b.ids]
+            for at, x, y in zip(full.tolist(), *mean.tolist(), strict=True):
+                rows[at] = (b.ids[at], int(b.sizes[at]) - 1, x, y, y - x)
+            yield _rows(rows, schema)
+
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_blocks // 4)
+    met = blocks.withColumn("bucket", F.lit(-1).cast("long")).unionByName(answers(blocks, buckets), allowMissingColumns=True)
+    return met.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(judge, _SCORE)
 
 
 def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document."""
-    docs = flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score(docs, fit(docs))
+    return score(flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
