@@ -42,7 +42,7 @@ MASS, LEAST = 20.0, 2
 #: Labelled ids that are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Tokens and documents after which a block ends, and tokens of the corpus for each bucket.
-BLOCK_TOKENS, BLOCK_DOCS, BUCKET_TOKENS = 4_000_000, 100_000, 500_000
+BLOCK_TOKENS, BLOCK_DOCS, BUCKET_TOKENS = 2_000_000, 100_000, 500_000
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _BLOCK = "block long, ids array<long>, sizes array<long>, target array<boolean>, n_words long, words binary, n_tokens long, n_target long, tokens binary"
