@@ -164,10 +164,9 @@ def components(prints: DataFrame) -> DataFrame:
     return grouped.join(least, "root").select("fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one with the least ``doc_id``. Columns as they are."""
-    prints = pinned(fingerprints(docs))
-    kept = prints.join(components(prints), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash", "root")
+def first_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``docs`` with one row of each root of ``placed`` (``doc_id, text_hash, root, component_id`` of every row)."""
+    kept = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash", "root")
     each = pinned(kept.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count("*").alias("n")).select(F.col("k.doc_id").alias("_sim_id"), F.col("k.text_hash").alias("_sim_hash"), "n"))
     found = docs.withColumn("_sim_h", F.xxhash64(text_or_empty()))
     rows = found.join(each, F.col("doc_id").cast("long").eqNullSafe(F.col("_sim_id")) & (F.col("_sim_h") == F.col("_sim_hash")), "left_semi")
@@ -176,6 +175,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return rows.drop("_sim_h")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the one with the least ``doc_id``. Columns as they are."""
+    prints = pinned(fingerprints(docs))
+    return first_of_each(docs, prints.join(components(prints), "fp"))
+
+
 def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     prints = pinned(fingerprints(table(spark, sf_dir, "documents")))
