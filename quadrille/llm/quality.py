@@ -4,7 +4,8 @@ A line is normalised (words joined by one space, A-Z lower-cased, digits to 0) a
 host. A host's line that stands in more than ``max(MIN_DOCS, SHARE x the host's documents)``
 distinct documents is boilerplate; equal texts count as one document, so copies don't make
 boilerplate. A document is depleted, and rejected, if without its boilerplate fewer than
-``MIN_WORDS`` words or less than ``MIN_LEFT`` of its words are left.
+``MIN_WORDS`` words or less than ``MIN_LEFT`` of its words are left. The other documents lose their
+boilerplate lines (``keep_good``; ``without_boilerplate`` rejects none); the query gives counts and verdicts only.
 
 Defined results: null and wordless texts fail the base rules (no words); a null source is a host
 of its own; repeated rows each get their verdict; lines without words are ignored; other columns
@@ -13,7 +14,7 @@ are not read. Lines are pre-aggregated by host and hash before they meet.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +61,27 @@ def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
+def host_of(source: str | None) -> int:
+    return xxhash.xxh64_intdigest(b"" if source is None else b"=" + source.encode("utf-8", "surrogatepass"))
+
+
+def without_lines(text: str, source: str | None, lost: Container[int]) -> str:
+    """``text`` without the lines whose hashes (those of ``measures``) are in ``lost``; all others stay as they are."""
+    host, out = host_of(source), []
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        parts = line.translate(_NORMAL).split()
+        if not parts or np.uint64(xxhash.xxh64_intdigest(b" ".join(parts), host)).astype(np.int64).item() not in lost:
+            out.append(line)
+    return b"\n".join(out).decode("utf-8", "surrogatepass")
+
+
 def measures(text: str | None, source: str | None) -> dict:
     """Base counts of a text, and its distinct normalised lines: hash with the host, and words."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     histogram = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     lines = [x for x in data.split(b"\n") if x.strip()]
-    host = xxhash.xxh64_intdigest(b"" if source is None else b"=" + source.encode("utf-8", "surrogatepass"))
+    host = host_of(source)
     normal: dict[int, int] = {}
     for line in lines:
         parts = line.translate(_NORMAL).split()
@@ -129,34 +144,60 @@ def verdicts(measured: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS
     return rows.drop("lines", "line_words").join(lost, "_row", "left").withColumn("left_words", left.cast("long")).withColumn("kept", kept).drop("_row", "_lost")
 
 
-def keep_good(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
-    """``docs`` without the rejected rows; the columns stay as they are.
-
-    While the boilerplate's hashes are few enough to be sent to the tasks, texts don't move: a second
-    pass measures them again and filters. Beyond ``BROADCAST_ROWS`` the verdicts are joined by shuffle.
+def _cleaned(docs: DataFrame, reject: bool, share: float, min_docs: int, min_words: int, min_left: float) -> DataFrame:
+    """While the boilerplate's hashes are few enough to be sent to the tasks, texts don't move: a second
+    pass measures them again. Beyond ``BROADCAST_ROWS`` verdicts and each row's lines to remove are joined by shuffle.
     """
     measured = pinned(measure_documents(docs))
     found = pinned(boilerplate(measured, share, min_docs))
+    names = docs.columns
+    at, host = names.index("text"), names.index("source")
+
+    def stripped(batch: pa.RecordBatch, lost: list) -> pa.RecordBatch:
+        texts = [without_lines(t, s, x) if x and t else t for t, s, x in zip(batch.column(at).to_pylist(), batch.column(host).to_pylist(), lost, strict=True)]
+        columns = batch.columns[: len(names)]
+        columns[at] = pa.array(texts, columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     if found.count() > BROADCAST_ROWS:
-        rejected = verdicts(measured, share, min_docs, min_words, min_left).filter(~F.col("kept")).select("row_key").distinct()
-        return docs.withColumn("_q_key", row_key()).join(rejected, F.col("_q_key") == rejected["row_key"], "left_anti").drop("_q_key")
+        kept = verdicts(measured, share, min_docs, min_words, min_left).select("row_key", "kept").distinct()
+        lines = measured.select("row_key", F.explode("lines").alias("line")).join(found, "line").groupBy("row_key").agg(F.collect_set("line").alias("_q_lost"))
+        judged = kept.join(lines, "row_key", "left").filter("kept" if reject else "true").select(F.col("row_key").alias("_q_key"), "_q_lost")
+        rows = docs.withColumn("_q_row", row_key()).join(judged, F.col("_q_row") == F.col("_q_key")).select(*names, "_q_lost")
+
+        def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield stripped(batch, [frozenset(x or ()) for x in batch.column(batch.num_columns - 1).to_pylist()])
+
+        return rows.mapInArrow(strip, docs.schema)
     sent = docs.sparkSession.sparkContext.broadcast(frozenset(r.line for r in found.collect()))
-    at, host = docs.columns.index("text"), docs.columns.index("source")
 
-    def good(text: str | None, source: str | None) -> bool:
+    def judge(text: str | None, source: str | None) -> tuple[bool, list[int]]:
         m = measures(text, source)
-        left = m["n_words"] - sum(w for h, w in zip(m["lines"], m["line_words"], strict=True) if h in sent.value)
-        return not m["base_failed"] and left >= min_words and left >= min_left * m["n_words"]
+        lost = {h: w for h, w in zip(m["lines"], m["line_words"], strict=True) if h in sent.value}
+        left = m["n_words"] - sum(lost.values())
+        return not reject or not m["base_failed"] and left >= min_words and left >= min_left * m["n_words"], list(lost)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                yield part.filter(pa.array([good(t.as_py(), s.as_py()) for t, s in zip(part.column(at), part.column(host), strict=True)], pa.bool_()))
+                found = [judge(t.as_py(), s.as_py()) for t, s in zip(part.column(at), part.column(host), strict=True)]
+                yield stripped(part.filter(pa.array([ok for ok, _ in found], pa.bool_())), [x for ok, x in found if ok])
 
     return docs.mapInArrow(keep, docs.schema)
 
 
+def keep_good(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
+    """``docs`` without the rejected rows, the texts of the others without their host's boilerplate lines; other columns stay as they are."""
+    return _cleaned(docs, True, share, min_docs, min_words, min_left)
+
+
+def without_boilerplate(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+    """All rows of ``docs``, the texts without their host's boilerplate lines; other columns stay as they are."""
+    return _cleaned(docs, False, share, min_docs, MIN_WORDS, MIN_LEFT)
+
+
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     judged = verdicts(pinned(measure_documents(table(spark, sf_dir, "documents"))))
