@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrille.llm.common import table
 
@@ -306,27 +307,42 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with the benchmark's passages cut out of ``text_col``, other columns as they are; rows left without words by the cut go.
 
-    One pass over the documents for each block of the benchmark, without a shuffle.
+    All blocks of the benchmark are searched in the text as it came, one pass each, without a shuffle; the passes add
+    their spans to a column, and the last one merges and cuts them.
     """
-    spark, place = docs.sparkSession, docs.columns.index(text_col)
-    for block in _item_blocks(benchmark, block_words):
+    spark, place, spans = docs.sparkSession, docs.columns.index(text_col), "_dc_spans"
+    schema, names = docs.schema, docs.columns
+    wide = T.StructType([*schema.fields, T.StructField(spans, T.ArrayType(T.LongType()))])
+
+    def searched(rows: DataFrame, block: list, last: bool) -> DataFrame:
         sent = spark.sparkContext.broadcast(Phrases(block, window))
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(place).to_pylist()
-                words = [words_of(t) for t in texts]
+                # starts and ends in turn, of the blocks before
+                known = [np.array(x or (), np.int64) for x in batch.column(len(names)).to_pylist()] if batch.num_columns > len(names) else [np.zeros(0, np.int64)] * len(texts)
+                found = [np.concatenate([x, np.column_stack([a, b]).astype(np.int64).ravel()]) for x, (a, b, _) in zip(known, search_shard([words_of(t) for t in texts], sent.value, window), strict=True)]
+                columns = batch.columns[: len(names)]
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], names=[*names, spans])
+                    continue
                 keep = np.ones(len(texts), bool)
-                for k, (a, b, _) in enumerate(search_shard(words, sent.value, window)):
-                    if len(a):
-                        texts[k] = cut(texts[k], merged_spans(a, b))
+                for k, x in enumerate(found):
+                    if len(x):
+                        texts[k] = cut(texts[k], merged_spans(x[::2], x[1::2]))
                         keep[k] = bool(words_of(texts[k]))
-                columns = batch.columns
-                columns[place] = pa.array(texts, batch.column(place).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+                columns[place] = pa.array(texts, columns[place].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+        return rows.mapInArrow(find, schema if last else wide)
+
+    held = None
+    for block in _item_blocks(benchmark, block_words):
+        if held is not None:
+            docs = searched(docs, held, False)
+        held = block
+    return searched(docs, held, True)
 
 
 def op1_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
