@@ -4,8 +4,8 @@ A text is cut into sentences, at line ends and, a second time, with single line
 licence texts). Sentences are normalised (A-Z lower-cased, everything but letters, digits, ``.`` and
 ``+`` to one space) and looked up in a fixed table of known licence sentences. The identifiers found,
 in text order, are matched against ordered rules; a rule's sentences are used up by its match, so
-that a whole licence is not reported again as a mere reference. The reading with more used
-sentences stands; on a tie, the one by lines.
+that a whole licence is not reported again as a mere reference. For the query, as for its SQL, the reading with more used
+sentences stands; on a tie, the one by lines. ``scan`` also gives what either reading finds.
 
 Defined results: null, empty and wordless texts have no licence; repeated rows are scanned apart;
 known sentences that no rule uses are reported as ``unmatched``; other columns are not read. A row
@@ -119,8 +119,8 @@ RULES = [
     ("All-Rights-Reserved", ["reserved"]),
 ]
 
-#: Every known sentence has one of these words.
-HINT = r"(?i)licen[sc]e|copyright|permi|warrant|redistribut|reserved|public domain|liab|january 2004|free software"
+#: Every known sentence has one of these words, also before it is normalised: any run of signs can stand between two.
+HINT = r"(?i)licen[sc]e|copyright|permi|warrant|redistribut|reserved|public[^a-z]+domain|liab|january[^a-z]+2004|free[^a-z]+software"
 _END = r"([.;:!?])[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -143,7 +143,7 @@ def by_rules(sequence: Column) -> Column:
 
 
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with ``sentences`` (number of known ones), ``sequence``, ``licenses`` and ``unmatched``."""
+    """``df`` with ``sentences`` (number of known ones), ``sequence``, ``licenses``, ``unmatched``, and ``either``: the licences of both readings, those of ``licenses`` first."""
     text = text_or_empty(text_col)
     ended = F.regexp_replace(F.col("_ls_text"), _END, "$1\n")
     wrapped = F.regexp_replace(F.regexp_replace(F.col("_ls_text"), "([^\n])\n(?=[^\n])", "$1 "), _END, "$1\n")
@@ -154,7 +154,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     wrap = used("_ls_wrap", "_ls_b") > used("_ls_line", "_ls_a")
     sequence, verdict = F.when(wrap, F.col("_ls_wrap")).otherwise(F.col("_ls_line")), F.when(wrap, F.col("_ls_b")).otherwise(F.col("_ls_a"))
     found = found.withColumns({"_ls_s": sequence, "_ls_v": verdict})
-    out = {"sentences": marks(F.col("_ls_s")).cast("long"), "sequence": F.col("_ls_s"), "licenses": F.array_distinct(F.col("_ls_v")["found"]), "unmatched": marks(F.col("_ls_v")["rest"]).cast("long")}
+    out = {"sentences": marks(F.col("_ls_s")).cast("long"), "sequence": F.col("_ls_s"), "licenses": F.array_distinct(F.col("_ls_v")["found"]), "unmatched": marks(F.col("_ls_v")["rest"]).cast("long"), "either": F.array_distinct(F.concat(F.col("_ls_v")["found"], F.col("_ls_a")["found"], F.col("_ls_b")["found"]))}
     return found.withColumns(out).drop("_ls_text", "_ls_line", "_ls_wrap", "_ls_a", "_ls_b", "_ls_s", "_ls_v")
 
 
