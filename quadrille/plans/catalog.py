@@ -298,7 +298,14 @@ ORACLES["agg10_object_table"] = _cc(
 for _code, _x, _y in ((2, "63 - x", "y"), (3, "63 - x", "199 - y"), (4, "x", "199 - y"), (5, "y", "x"), (6, "199 - y", "x"), (7, "199 - y", "63 - x"), (8, "y", "63 - x")):
     query(f"img03_orient_{_code}", f"SELECT {_y} AS y, {_x} AS x, {R('v')} AS v FROM p")(lambda spark, sf, c=_code: samples(image.Image(plane(spark, sf), 64, 200).auto_orient(c).df))
 query("img06_rotate_90", f"SELECT x AS y, 199 - y AS x, {R('v')} AS v FROM p")(lambda spark, sf: samples(image.Image(plane(spark, sf), 64, 200).rotate(90).df))
-query("stn13_rotate_30")(lambda spark, sf: samples(image.rotate(plane(spark, sf).filter("y < 64"), 30, 64, 64)[0]))
+
+
+@query("stn13_rotate_30")
+def _(spark, sf):
+    height = t.emb_rows(spark, sf).agg(F.coalesce(F.max("y"), F.lit(-1)) + 1).first()[0]
+    return samples(image.rotate(t.emb_plane(spark, sf), 30, 64, height)[0])
+
+
 query("img02_resize_inside", _separable_sql(stencil.linear_taps(64, 32), stencil.linear_taps(200, 100), "(SELECT y, x, " + _BYTE + "::DOUBLE AS v FROM p)").replace(R("sum(v * w)"), "greatest(0, least(255, floor(sum(v * w) + 0.5)))::INT"))(
     lambda spark, sf: image.Image(plane(spark, sf).select("y", "x", scalar.to_byte(F.col("v"), -0.2, 0.2).alias("v")), 64, 200).resize(32, 150, "inside", "bilinear").df.select("y", "x", "v")
 )
