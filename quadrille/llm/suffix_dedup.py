@@ -7,18 +7,21 @@ Suffixes that could match meet in one place: every string of ``LENGTH`` bytes ho
 leftmost of its ``GRAM``-byte strings with the least hash, so equal strings have equal anchors.
 Anchors are counted first, and only those whose hash stands twice or more go on (a bitmap of the
 repeated hashes, of checked size, is sent to the tasks; beyond ``BITMAP_BITS`` they are joined). An
-anchor goes with the text around it that its strings cover, to a bucket by its hash; a task first
-drops what repeats inside it, text and all.
+anchor goes with the text around it that its strings cover, to a bucket by its hash; what a task has met before
+it drops at once, text and all. The strings of a hot anchor, one with more occurrences than a bucket should
+hold, go each to a bucket by its own digest of 128 bits, so that a bucket holds the strings of few anchors or copies
+of few strings.
 
-A bucket reads its texts in document order, in batches. A batch's suffixes (the starts of its strings,
-compared by ``LENGTH`` bytes) are sorted into a suffix array, equal neighbours after the first
-are marked, and the array is merge-scanned against every level of the index; what a level has is
-marked. The rest becomes a new level, and levels of about equal size are merged, so that there are
-logarithmically many.
+A bucket reads its texts in document order, in batches. A batch's suffix array has the positions of its suffixes in
+the order of a fingerprint of their first ``LENGTH`` bytes (strings needn't be made: only what is
+equal over ``LENGTH`` bytes must stand together). The array is merge-scanned against itself and every level of the index;
+what stands beside an earlier suffix is a match, compared byte by byte with the earlier text, run by run.
+The rest becomes a new level, and levels of about equal size are merged, so that there are logarithmically many.
 
 Defined results: null and empty texts have no bytes; texts shorter than ``LENGTH`` bytes lose none;
-null ids come after all others; rows of one id count as documents in the table's order of rows;
-other columns are not read. Bytes that are left need not be valid UTF-8.
+null ids come after all others; rows of one id count as documents in the order of a hash of their texts, so that
+nothing depends on the order of rows; of rows that agree in id and text one is the first; other columns are not read.
+Bytes that are left need not be valid UTF-8.
 """
 
 from __future__ import annotations
@@ -31,12 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import stored, table
+from quadrille.llm.common import stored, table, text_or_empty
 
 LENGTH, GRAM = 100, 32
-#: Bits of the bitmap at most (32 MB), bits for each repeated hash, anchors of a bucket, and anchors of a batch.
-BITMAP_BITS, BITS_EACH, BUCKET, BATCH = 1 << 28, 8, 30_000, 4_000
+#: Bits of the bitmap at most (32 MB), bits for each repeated hash, anchors of a bucket, anchors of a batch, and hot anchors at most.
+BITMAP_BITS, BITS_EACH, BUCKET, BATCH, MOST_HOT = 1 << 28, 8, 24_000, 6_000, 1_000_000
+#: Texts that a task remembers to drop their repeats.
+REMEMBERED = 400_000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
+_DIGEST = 16
 
 
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,44 +73,94 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return h[at[first]].view(np.int64), first, last
 
 
+def fingerprints(data: bytes, length: int = LENGTH) -> np.ndarray:
+    """A 64-bit fingerprint of the ``length`` bytes from each place of ``data`` on; by doubling, the last two parts may overlap."""
+    size = 8 if length >= 8 else 1
+    h = np.ndarray((len(data) - size + 1,), "<u8" if size == 8 else "u1", data, 0, (1,)).astype(np.uint64)
+    step = 0
+    with np.errstate(over="ignore"):
+        while size < length:
+            ahead = min(size, length - size)
+            h = h[: len(h) - ahead] * _MIX[step % 4] + h[ahead:] * _MIX[(step + 1) % 4]
+            h ^= h >> np.uint64(31)
+            size, step = size + ahead, step + 1
+    return h
+
+
+def merge_scan(level: np.ndarray, array: np.ndarray) -> np.ndarray:
+    """Where in ``level`` each of ``array`` stands, or -1; both sorted and without repeats: one merge of two runs."""
+    both = np.concatenate((level, array))
+    order = np.argsort(both, kind="stable")
+    merged = both[order]
+    twin = np.flatnonzero(merged[1:] == merged[:-1])
+    out = np.full(len(array), -1, np.int64)
+    out[order[twin + 1] - len(level)] = order[twin]
+    return out
+
+
 class IndexFamily:
-    """Levels of sorted strings, each at most half as large as the one before."""
-
-    def __init__(self) -> None:
-        self.levels: list[np.ndarray] = []
-
-    def add(self, strings: np.ndarray) -> np.ndarray:
-        """Marks which of ``strings`` (fixed width, in order of arrival) came before, and takes the new ones in."""
-        order = np.argsort(strings, kind="stable")
-        array = strings[order]
-        same = np.append(False, array[1:] == array[:-1])
-        seen = np.zeros(len(array), bool)
-        for level in self.levels:
-            at = np.minimum(np.searchsorted(level, array), len(level) - 1)
-            seen |= level[at] == array
-        marked = np.empty(len(array), bool)
-        marked[order] = same | seen
-        new = array[~(same | seen)]
-        if len(new):
-            self.levels.append(new)
-            while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
-                top = self.levels.pop()
-                both = np.concatenate((self.levels.pop(), top))
-                both.sort(kind="stable")  # two sorted runs: one merge
-                self.levels.append(both)
-        return marked
-
-
-def strings_of(texts: list[bytes], length: int = LENGTH) -> np.ndarray:
-    """All strings of ``length`` bytes inside each text, in order; a last byte 1 keeps zero bytes apart from padding."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts])
-    starts = np.cumsum(sizes) - sizes
-    count = sizes - length + 1
-    at = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    out = np.ones((len(at), length + 1), np.uint8)
-    out[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[at]
-    return out.reshape(-1).view(f"S{length + 1}")
+    """Levels of suffix positions in the order of their fingerprints, each at most half as large as the one before."""
+
+    def __init__(self, length: int = LENGTH, fingerprint=fingerprints) -> None:
+        self.length, self.fingerprint = length, fingerprint
+        self.texts = bytearray()
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # fingerprints, places in `texts`
+        self.odd: set[bytes] = set()  # strings with the fingerprint of another one that came first
+
+    def add(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
+        """Runs ``text, from, to`` of the starts in ``texts`` (in order of arrival) whose strings came before; takes the new ones in."""
+        data, base = b"".join(texts), len(self.texts)
+        sizes = np.array([len(t) for t in texts])
+        first, count = np.cumsum(sizes) - sizes, sizes - self.length + 1
+        ends = np.cumsum(count)
+        places = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
+        keys = self.fingerprint(data, self.length)[places]
+        self.texts += data
+        order = np.argsort(keys, kind="stable")
+        array, at = keys[order], places[order] + base
+        head = np.append(True, array[1:] != array[:-1])
+        heads = np.flatnonzero(head)
+        distinct, earlier = array[heads], np.full(len(heads), -1, np.int64)
+        for level, where in self.levels:
+            found = merge_scan(level, distinct)
+            earlier[found >= 0] = where[found[found >= 0]]
+        new = earlier < 0
+        if new.any():
+            self._put(distinct[new], at[heads[new]])
+        group = np.cumsum(head) - 1
+        match = np.where(new[group] & ~head, at[heads][group], earlier[group])
+        partner = np.empty(len(match), np.int64)
+        partner[order] = match
+        return self._runs(places + base, partner, np.repeat(np.arange(len(texts)), count), first + base)
+
+    def _put(self, keys: np.ndarray, where: np.ndarray) -> None:
+        self.levels.append((keys, where))
+        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
+            (k, w), (lk, lw) = self.levels.pop(), self.levels.pop()
+            both = np.concatenate((lk, k))
+            order = np.argsort(both, kind="stable")  # two sorted runs: one merge
+            self.levels.append((both[order], np.concatenate((lw, w))[order]))
+
+    def _runs(self, places: np.ndarray, partner: np.ndarray, text: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+        marked = np.flatnonzero(partner >= 0)
+        if not len(marked):
+            return []
+        p, q, t = places[marked], partner[marked], text[marked]
+        cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1) | (np.diff(t) != 0)) + 1
+        begins, stops = np.append(0, cut), np.append(cut, len(p)) - 1
+        out: list[tuple[int, int, int]] = []
+        own, n = self.texts, self.length
+        for k, f, a, b, c, d in zip(t[begins].tolist(), first[t[begins]].tolist(), p[begins].tolist(), p[stops].tolist(), q[begins].tolist(), q[stops].tolist(), strict=True):
+            if own[a : b + n] == own[c : d + n]:
+                out.append((k, a - f, b - f + 1))
+                continue
+            for i in range(b - a + 1):  # a fingerprint that two strings share
+                s = bytes(own[a + i : a + i + n])
+                if s == own[c + i : c + i + n] or s in self.odd:
+                    out.append((k, a + i - f, a + i - f + 1))
+                else:
+                    self.odd.add(s)
+        return out
 
 
 def runs_of(marked: np.ndarray) -> list[tuple[int, int]]:
@@ -117,11 +173,16 @@ def _bytes(text: str | None) -> bytes:
 
 
 _MET = pa.schema([("kh", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("u", pa.binary())])
-_SPAN = pa.schema([("row", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_SPAN = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, row, text``; ``row`` is a hash of the text, so that a row is the same in every scan."""
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_or_empty(text_col)).alias("row"), text_or_empty(text_col).alias("text"))
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+
+def _batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +192,43 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(count)], names=["kh", "n"])
 
 
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of a bucket's rows (:data:`_MET`, in document order)."""
+    family, digests, last = IndexFamily(), set(), None
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH):
+            part = batch.slice(start, BATCH).to_pydict()
+            out: list[tuple] = []
+            held: list[tuple] = []
+            for doc, row, lo, hi, u in zip(part["doc"], part["row"], part["lo"], part["hi"], part["u"], strict=True):
+                if u is None:  # met before by the task that read it
+                    out.append((doc, row, lo, hi + LENGTH))
+                    continue
+                if (doc, row, lo) == last:  # the same text under the same id
+                    continue
+                last = (doc, row, lo)
+                if len(u) > _DIGEST:
+                    held.append((doc, row, lo, u))
+                elif u in digests:
+                    out.append((doc, row, lo, lo + LENGTH))
+                else:
+                    digests.add(u)
+            if held:
+                for k, a, b in family.add([u for *_, u in held]):
+                    doc, row, lo, _ = held[k]
+                    out.append((doc, row, lo + a, lo + b - 1 + LENGTH))
+            if out:
+                yield _batch(list(zip(*out, strict=True)), _SPAN)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row, a, b``: byte spans to remove of each row of ``docs``, by the row's number in the scan; spans may overlap."""
-    spark, slim = docs.sparkSession, _numbered(docs, id_col, text_col)
+    """``doc, row, a, b``: byte spans to remove of each distinct id and text of ``docs`` (``row``: the text's hash); spans may overlap."""
+    spark, slim = docs.sparkSession, _keyed(docs, id_col, text_col)
     repeated = stored(slim.select("text").mapInArrow(_counted, "kh long, n long").groupBy("kh").agg(F.sum("n").alias("n")).filter("n > 1"))
     distinct, total = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # at most MOST_HOT anchors can have more than total / MOST_HOT occurrences
+    busy = repeated.filter(F.col("n") > max(BUCKET, total // MOST_HOT)).toArrow()
+    hot, hot_total = np.sort(busy["kh"].to_numpy()), int(busy["n"].to_numpy().sum())
     bits = max(1 << 16, 1 << (distinct * BITS_EACH).bit_length())
     sent = None
     if bits <= BITMAP_BITS:
@@ -145,84 +238,99 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bitmap = np.zeros(bits // 64, np.uint64)
         bitmap[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
         sent = spark.sparkContext.broadcast(bitmap)
+    sent_hot = spark.sparkContext.broadcast(hot)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        earlier: dict[int, tuple] = {}  # texts met in this task: the first document
+        earlier: dict[bytes, tuple] = {}  # texts met in this task: the first place
         for batch in batches:
             out: list[list] = [[] for _ in _MET]
-            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = _bytes(text.as_py())
                 kh, first, last = anchors(data)
                 if sent is not None and len(kh):
                     at = kh & (bits - 1)
                     keep = (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
                     kh, first, last = kh[keep], first[keep], last[keep]
-                me = (doc is None, doc or 0, row)
-                for k, lo, hi in zip(kh.tolist(), first.tolist(), last.tolist(), strict=True):
-                    u = data[lo : hi + LENGTH]
-                    key = xxhash.xxh128_intdigest(u)
-                    before = earlier.get(key)
-                    if before is not None and before < (*me, lo):
-                        u = None  # all its strings start earlier
-                    elif before is None or (*me, lo) < before:
-                        if len(earlier) > 400_000:
-                            earlier.clear()
-                        earlier[key] = (*me, lo)
-                    for column, value in zip(out, (k if u is not None else row, doc, row, lo, hi, u), strict=True):
+                busy = np.isin(kh, sent_hot.value).tolist() if len(sent_hot.value) else [False] * len(kh)
+                dropped: list[list[int]] = []
+                for k, lo, hi, split in zip(kh.tolist(), first.tolist(), last.tolist(), busy, strict=True):
+                    for a, b in ((s, s) for s in range(lo, hi + 1)) if split else ((lo, hi),):
+                        u = data[a : b + LENGTH]
+                        key, me = xxhash.xxh128_digest(u), (doc is None, doc or 0, row, a)
+                        before = earlier.get(key)
+                        if before is None or me < before:
+                            if len(earlier) >= REMEMBERED:
+                                earlier.clear()
+                            earlier[key] = me
+                            for column, value in zip(out, (int.from_bytes(key[:8], "little", signed=True), doc, row, a, b, key) if split else (k, doc, row, a, b, u), strict=True):
+                                column.append(value)
+                        elif before != me:  # all its strings start earlier
+                            if dropped and dropped[-1][1] == a - 1:
+                                dropped[-1][1] = b
+                            else:
+                                dropped.append([a, b])
+                for a, b in dropped:
+                    for column, value in zip(out, (row, doc, row, a, b, None), strict=True):
                         column.append(value)
                 if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _MET, strict=True)], schema=_MET)
+                    yield _batch(out, _MET)
                     out = [[] for _ in _MET]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _MET, strict=True)], schema=_MET)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = IndexFamily()
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                part = batch.slice(start, BATCH).to_pydict()
-                out = [(r, a, b + LENGTH) for r, a, b, u in zip(part["row"], part["lo"], part["hi"], part["u"], strict=True) if u is None]
-                held = [(r, a, u) for r, a, u in zip(part["row"], part["lo"], part["u"], strict=True) if u is not None]
-                if held:
-                    marked = family.add(strings_of([u for *_, u in held]))
-                    ends = np.cumsum([len(u) - LENGTH + 1 for *_, u in held])
-                    for (r, lo, _), m in zip(held, np.split(marked, ends[:-1]), strict=True):
-                        if m.any():
-                            out += [(r, lo + a, lo + b - 1 + LENGTH) for a, b in runs_of(m)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_SPAN)
+            yield _batch(out, _MET)
 
     met = slim.mapInArrow(meet, "kh long, doc long, row long, lo long, hi long, u binary")
     if sent is None:
-        met = met.join(repeated.select("kh"), "kh", "left_semi")
-    buckets = max(1, -(-int(total) // BUCKET))
+        # rows without text, and those of hot anchors, are known to repeat; their key isn't an anchor's
+        met = met.withColumn("sure", F.coalesce(F.octet_length("u") <= _DIGEST, F.lit(True)))
+        known = repeated.select(F.col("kh").alias("k2"), F.lit(True).alias("k"))
+        met = met.join(known, (F.col("kh") == F.col("k2")) & ~F.col("sure"), "left").filter("sure OR k").drop("sure", "k", "k2")
+    buckets = -(-(int(total) + 8 * hot_total) // BUCKET)
     ordered = met.repartition(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "kh").sortWithinPartitions(F.col("doc").asc_nulls_last(), "row", "lo")
-    return ordered.mapInArrow(scan, "row long, a long, b long")
+    return ordered.mapInArrow(_scanned, "doc long, row long, a long, b long")
 
 
-def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, kept`` (bytes), ``spans`` (removed runs, merged) for every row of ``docs``."""
-    merged = spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("s"))
-    joined = _numbered(docs, id_col, text_col).join(merged, "row", "left").select("doc", "text", "s")
-    schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))])
+_CUT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part, rows = batch.slice(start, 500).to_pydict(), []
-                for doc, text, s in zip(part["doc"], part["text"], part["s"], strict=True):
-                    data, runs, at, left = _bytes(text), [], 0, []
-                    for x in sorted((x["a"], x["b"]) for x in s or ()):
-                        if runs and x[0] <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], x[1])
-                        else:
-                            runs.append(list(x))
-                    for a, b in runs:
-                        left.append(data[at:a])
-                        at = b
-                    rows.append({"doc_id": doc, "kept": b"".join([*left, data[at:]]), "spans": [{"from": a, "to": b} for a, b in runs]})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return joined.mapInArrow(cut, "doc_id long, kept binary, spans array<struct<from:long,to:long>>")
+
+def cut_text(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
+    """What ``spans`` (may overlap) leave of ``data``, and their union as runs."""
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    left, at = [], 0
+    for a, b in runs:
+        left.append(data[at:a])
+        at = b
+    return b"".join([*left, data[at:]]), [(a, b) for a, b in runs]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by document, spans (without a text) first, then its texts: the first loses the spans, a repeated row all it can."""
+    key, spans, again = None, [], False
+    for batch in batches:
+        for start in range(0, batch.num_rows, 2000):
+            part, rows = batch.slice(start, 2000).to_pydict(), []
+            for doc, row, a, b, text in zip(part["doc"], part["row"], part["a"], part["b"], part["text"], strict=True):
+                if (doc, row) != key:
+                    key, spans, again = (doc, row), [], False
+                if text is None:
+                    spans.append((a, b))
+                    continue
+                data = _bytes(text)
+                kept, runs = cut_text(data, [(0, len(data))] if again and len(data) >= LENGTH else spans)
+                again, spans = True, []
+                rows.append({"doc_id": doc, "kept": kept, "spans": [{"from": x, "to": y} for x, y in runs]})
+            yield pa.RecordBatch.from_pylist(rows, schema=_CUT)
+
+
+def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, kept`` (bytes), ``spans`` (removed runs, merged) for every row of ``docs``; ``spans`` by :func:`repeated_spans`."""
+    none = F.lit(None).cast("long")
+    texts = _keyed(docs, id_col, text_col).select("doc", "row", none.alias("a"), none.alias("b"), "text")
+    both = spans.select("doc", "row", "a", "b", F.lit(None).cast("string").alias("text")).unionByName(texts)
+    return both.repartition("row").sortWithinPartitions("row", "doc", F.col("text").isNotNull()).mapInArrow(_cut, "doc_id long, kept binary, spans array<struct<from:long,to:long>>")
 
 
 def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

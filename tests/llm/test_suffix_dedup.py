@@ -22,17 +22,25 @@ def brute(docs):
     return sorted(out)
 
 
+def weak(data, length):
+    """A fingerprint that many strings share."""
+    return s.fingerprints(data, length) % np.uint64(7)
+
+
 def test_family():
     rng = random.Random(1)
-    family, seen = s.IndexFamily(), set()
-    for _ in range(40):
-        batch = [bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(rng.randint(1, 30))]
-        marked = family.add(s.strings_of(batch, 6))
-        for x, m in zip(batch, marked, strict=True):
-            assert m == (x in seen)
-            seen.add(x)
-    sizes = [len(x) for x in family.levels]
-    assert sum(sizes) == len(seen) and all(2 * b <= a for a, b in zip(sizes, sizes[1:]))
+    for fingerprint in (s.fingerprints, weak):
+        family, seen = s.IndexFamily(6, fingerprint), set()
+        for _ in range(40):
+            batch = [bytes(rng.choice(b"abc") for _ in range(rng.randint(6, 30))) for _ in range(rng.randint(1, 9))]
+            got = {(k, i) for k, a, b in family.add(batch) for i in range(a, b)}
+            for k, text in enumerate(batch):
+                for i in range(len(text) - 5):
+                    assert ((k, i) in got) == (text[i : i + 6] in seen)
+                    seen.add(text[i : i + 6])
+        sizes = [len(k) for k, _ in family.levels]
+        assert all(2 * b <= a for a, b in zip(sizes, sizes[1:]))
+        assert sum(sizes) == len(seen) if fingerprint is s.fingerprints else family.odd
 
 
 def test_anchors_are_content():
@@ -58,6 +66,35 @@ def test_query_equals_brute_force(spark, tmp_path):
     assert got == brute(docs) and sum(r[2] for r in got) > 5000
 
 
+def boilerplate(rng, n):
+    """Documents around one passage, with copies of whole rows and of ids."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(30))
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 30))) + passage + " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(n)]
+    return docs + [docs[3], docs[3], (3, None), (n + 1, docs[5][1]), (n + 2, passage * 3)]
+
+
+def test_without_bitmap_and_hot_anchors(spark, monkeypatch):
+    docs = boilerplate(random.Random(5), 60)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = brute(docs)
+    for bits, bucket, most, remembered in ((1 << 28, 24_000, 10**6, 400_000), (0, 24_000, 10**6, 400_000), (1 << 28, 8, 10**6, 50), (0, 8, 10**6, 3)):
+        for name, value in (("BITMAP_BITS", bits), ("BUCKET", bucket), ("MOST_HOT", most), ("REMEMBERED", remembered)):
+            monkeypatch.setattr(s, name, value)
+        rows = s.cut_spans(df, s.repeated_spans(df)).collect()
+        got = sorted((r.doc_id, len(r.kept) + sum(x["to"] - x["from"] for x in r.spans), sum(x["to"] - x["from"] for x in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in rows)
+        assert got == want, (bits, bucket)
+
+
+def test_doubled_sentence_beyond_the_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(s, "BITMAP_BITS", 0)
+    sentence = "".join(random.Random(6).choice("abcdefghij ") for _ in range(128))
+    docs = [(i, sentence * 2 + str(i)) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: sum(x["to"] - x["from"] for x in r.spans) for r in s.cut_spans(df, s.repeated_spans(df)).collect()}
+    assert got == {i: n for i, _, n, *_ in brute(docs)}
+
+
 def test_documents(spark):
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
     assert sorted(tuple(r) for r in s.op4_suffix_levels(spark, "/root/testdata/sf0.001").collect()) == brute(docs)
