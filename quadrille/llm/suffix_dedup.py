@@ -39,38 +39,50 @@ from quadrille.llm.common import stored, table, text_or_empty
 LENGTH, GRAM = 100, 32
 #: Bits of the bitmap at most (32 MB), bits for each repeated hash, anchors of a bucket, anchors of a batch, and hot anchors at most.
 BITMAP_BITS, BITS_EACH, BUCKET, BATCH, MOST_HOT = 1 << 28, 8, 24_000, 6_000, 1_000_000
+#: Bytes whose anchors are found at a time, about.
+PORTION = 12_000
 #: Texts that a task remembers to drop their repeats.
 REMEMBERED = 400_000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _DIGEST = 16
 
 
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hashes of ``data``, and the first and last start of the strings that each anchor stands in."""
-    n = len(data) - length + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    places = len(data) - gram + 1
-    h = np.zeros(places, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(0, gram, 8):
-            word = np.ndarray((places,), "<u8", data, k, (1,))
-            h = (h ^ word) * _MIX[k // 8 % 4]
-            h ^= h >> np.uint64(29)
-        h *= _MIX[1]
-        h ^= h >> np.uint64(32)
-    order = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(places, dtype=np.uint64)
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of ``texts`` in order: hash, number of the text, and the first and last start in it of the strings that an anchor stands in."""
+    data = b"".join(texts)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begins, count = np.cumsum(sizes) - sizes, np.maximum(sizes - length + 1, 0)
+    if not count.any():
+        return (np.zeros(0, np.int64),) * 4
+    h = fingerprints(data, gram)
+    least = h & np.uint64(0xFFFFFFFF00000000)
+    least |= np.arange(len(h), dtype=np.uint64)
     width, span = length - gram + 1, 1
-    least = order
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if width > span:
-        least = np.minimum(least[: n], least[width - span : width - span + n])
-    at = (least[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        least = np.minimum(least[: span - width], least[width - span :])
+    ends = np.cumsum(count)
+    starts = np.repeat(begins - (ends - count), count) + np.arange(ends[-1])  # those of strings inside a text
+    at = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    last = np.append(first[1:], n) - 1
-    return h[at[first]].view(np.int64), first, last
+    last = np.append(first[1:], len(at)) - 1
+    text = np.searchsorted(ends, first, side="right")
+    return h[at[first]].view(np.int64), text, starts[first] - begins[text], starts[last] - begins[text]
+
+
+def _portions(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """``texts`` in portions whose arrays stay in the processor's cache."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= PORTION:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def fingerprints(data: bytes, length: int = LENGTH) -> np.ndarray:
@@ -81,9 +93,11 @@ def fingerprints(data: bytes, length: int = LENGTH) -> np.ndarray:
     with np.errstate(over="ignore"):
         while size < length:
             ahead = min(size, length - size)
-            h = h[: len(h) - ahead] * _MIX[step % 4] + h[ahead:] * _MIX[(step + 1) % 4]
-            h ^= h >> np.uint64(31)
-            size, step = size + ahead, step + 1
+            left, right = h[: len(h) - ahead] * _MIX[step % 4], h[ahead:] * _MIX[(step + 1) % 4]
+            left += right
+            np.right_shift(left, np.uint64(31), out=right)
+            left ^= right
+            h, size, step = left, size + ahead, step + 1
     return h
 
 
@@ -116,19 +130,20 @@ class IndexFamily:
         places = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
         keys = self.fingerprint(data, self.length)[places]
         self.texts += data
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         array, at = keys[order], places[order] + base
         head = np.append(True, array[1:] != array[:-1])
         heads = np.flatnonzero(head)
+        least = np.minimum.reduceat(at, heads)
         distinct, earlier = array[heads], np.full(len(heads), -1, np.int64)
         for level, where in self.levels:
             found = merge_scan(level, distinct)
             earlier[found >= 0] = where[found[found >= 0]]
         new = earlier < 0
         if new.any():
-            self._put(distinct[new], at[heads[new]])
+            self._put(distinct[new], least[new])
         group = np.cumsum(head) - 1
-        match = np.where(new[group] & ~head, at[heads][group], earlier[group])
+        match = np.where(new[group] & (at != least[group]), least[group], earlier[group])
         partner = np.empty(len(match), np.int64)
         partner[order] = match
         return self._runs(places + base, partner, np.repeat(np.arange(len(texts)), count), first + base)
@@ -181,13 +196,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_or_empty(text_col)).alias("row"), text_or_empty(text_col).alias("text"))
 
 
-def _batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [anchors(_bytes(t.as_py()))[0] for t in batch.column(0)]
+        found = [anchors(part)[0] for part in _portions([_bytes(t.as_py()) for t in batch.column(0)])]
         values, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
         yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(count)], names=["kh", "n"])
 
@@ -218,7 +233,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     doc, row, lo, _ = held[k]
                     out.append((doc, row, lo + a, lo + b - 1 + LENGTH))
             if out:
-                yield _batch(list(zip(*out, strict=True)), _SPAN)
+                yield _batch(out, _SPAN)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,39 +258,41 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earlier: dict[bytes, tuple] = {}  # texts met in this task: the first place
         for batch in batches:
-            out: list[list] = [[] for _ in _MET]
-            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = _bytes(text.as_py())
-                kh, first, last = anchors(data)
+            out: list[tuple] = []
+            own = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for part in _portions([_bytes(t.as_py()) for t in batch.column(2)]):
+                kh, text, first, last = anchors(part)
                 if sent is not None and len(kh):
                     at = kh & (bits - 1)
                     keep = (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    kh, first, last = kh[keep], first[keep], last[keep]
+                    kh, text, first, last = kh[keep], text[keep], first[keep], last[keep]
                 busy = np.isin(kh, sent_hot.value).tolist() if len(sent_hot.value) else [False] * len(kh)
-                dropped: list[list[int]] = []
-                for k, lo, hi, split in zip(kh.tolist(), first.tolist(), last.tolist(), busy, strict=True):
+                ids = [next(own) for _ in part]
+                gone: tuple = ()  # the last row, if it is a dropped one: text, from, to
+                for k, i, lo, hi, split in zip(kh.tolist(), text.tolist(), first.tolist(), last.tolist(), busy, strict=True):
+                    doc, row = ids[i]
                     for a, b in ((s, s) for s in range(lo, hi + 1)) if split else ((lo, hi),):
-                        u = data[a : b + LENGTH]
+                        u = part[i][a : b + LENGTH]
                         key, me = xxhash.xxh128_digest(u), (doc is None, doc or 0, row, a)
                         before = earlier.get(key)
                         if before is None or me < before:
                             if len(earlier) >= REMEMBERED:
                                 earlier.clear()
                             earlier[key] = me
-                            for column, value in zip(out, (int.from_bytes(key[:8], "little", signed=True), doc, row, a, b, key) if split else (k, doc, row, a, b, u), strict=True):
-                                column.append(value)
+                            out.append((int.from_bytes(key[:8], "little", signed=True), doc, row, a, b, key) if split else (k, doc, row, a, b, u))
+                            gone = ()
                         elif before != me:  # all its strings start earlier
-                            if dropped and dropped[-1][1] == a - 1:
-                                dropped[-1][1] = b
+                            if gone and gone[0] == i and gone[2] == a - 1:
+                                gone = (i, gone[1], b)
+                                out[-1] = (row, doc, row, gone[1], b, None)
                             else:
-                                dropped.append([a, b])
-                for a, b in dropped:
-                    for column, value in zip(out, (row, doc, row, a, b, None), strict=True):
-                        column.append(value)
-                if len(out[0]) > 20_000:
+                                gone = (i, a, b)
+                                out.append((row, doc, row, a, b, None))
+                if len(out) > 20_000:
                     yield _batch(out, _MET)
-                    out = [[] for _ in _MET]
-            yield _batch(out, _MET)
+                    out = []
+            if out:
+                yield _batch(out, _MET)
 
     met = slim.mapInArrow(meet, "kh long, doc long, row long, lo long, hi long, u binary")
     if sent is None:

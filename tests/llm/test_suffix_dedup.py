@@ -46,13 +46,15 @@ def test_family():
 def test_anchors_are_content():
     rng = random.Random(2)
     a = bytes(rng.choice(b"abcd ") for _ in range(700))
-    found = {}
-    for data in (a, b"xx" + a[50:600], a[300:] + a[:300]):
-        kh, first, last = s.anchors(data)
-        assert first[0] == 0 and last[-1] == len(data) - s.LENGTH and (first[1:] == last[:-1] + 1).all()
-        for k, lo, hi in zip(kh.tolist(), first.tolist(), last.tolist(), strict=True):
-            for at in range(lo, hi + 1):
-                assert found.setdefault(data[at : at + s.LENGTH], k) == k
+    texts = [a, b"", b"xx" + a[50:600], a[:99], a[300:] + a[:300], a[:100]]
+    kh, text, first, last = (x.tolist() for x in s.anchors(texts))
+    found, starts = {}, []
+    for k, i, lo, hi in zip(kh, text, first, last, strict=True):
+        for at in range(lo, hi + 1):
+            assert found.setdefault(texts[i][at : at + s.LENGTH], k) == k
+            starts.append((i, at))
+    assert starts == [(i, at) for i, x in enumerate(texts) for at in range(len(x) - s.LENGTH + 1)]
+    assert all(len(x) == 0 for x in s.anchors([b"", a[:99], a[:99]]))
 
 
 def test_query_equals_brute_force(spark, tmp_path):
