@@ -347,7 +347,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
     none = F.lit(None).cast("long")
     texts = _keyed(docs, id_col, text_col).select("doc", "row", none.alias("a"), none.alias("b"), "text")
     both = spans.select("doc", "row", "a", "b", F.lit(None).cast("string").alias("text")).unionByName(texts)
-    return both.repartition("row").sortWithinPartitions("row", "doc", F.col("text").isNotNull()).mapInArrow(_cut, "doc_id long, kept binary, spans array<struct<from:long,to:long>>")
+    return both.repartition("doc", "row").sortWithinPartitions("doc", "row", F.col("text").isNotNull()).mapInArrow(_cut, "doc_id long, kept binary, spans array<struct<from:long,to:long>>")
 
 
 def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
