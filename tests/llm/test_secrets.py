@@ -1,4 +1,6 @@
+import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -77,3 +79,27 @@ def test_documents(spark):
 def test_empty(spark, rows):
     out = s.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.all_spans for r in out] == [[] for _ in rows]
+
+
+def test_query_columns_equal_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    part = lambda: rng.choice(["token=", "AKIA", "😀 ", "\n", "secret: '", "".join(rng.choice("abcdef0123456789") for _ in range(rng.randint(5, 50))), "".join(rng.choice("ABCDEF0123456789") for _ in range(rng.randint(5, 30)))])
+    texts = [*TEXTS, *("".join(part() for _ in range(rng.randint(1, 12))) for _ in range(150))]
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    named = lambda spans: ",".join(f"{s.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    for row in s.op8_entropy_secrets(spark, str(tmp_path)).collect():
+        base, spans = brute(texts[row.doc_id])
+        kinds = Counter(k for _, k, _ in base)
+        assert (row.n_assign, row.n_access, row.n_hex) == (kinds[0], kinds[1], kinds[2])
+        assert row.base_sha256 == hashlib.sha256(named(base).encode()).hexdigest() and row.spans == named(spans)
+
+
+def test_long_candidates_and_many_matches(spark):
+    rng = random.Random(6)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    mixed = "".join(rng.choice(chars) if i // 100 % 3 else rng.choice("ab1") for i in range(30_000))
+    texts = ["".join(rng.choice(chars) for _ in range(200_000)), mixed, "a-" * 50_000, "token=abcdefgh1 " * 100_000, "é" + (mixed[:40] + " ") * 3_000]
+    for row in s.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect():
+        base, spans = brute(texts[row.doc_id])
+        assert [(x.start, x.kind, x.end) for x in row.base_spans] == base
+        assert [(x.start, x.kind, x.end) for x in row.all_spans] == spans
