@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import stored, table
 from quadrille.llm.decontaminate import words_of
 
-MASS, LEAST = 20.0, 2
+MASS, LEAST = 20.0, 1
 #: Labelled ids that are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Tokens and documents after which a block ends, and tokens of the corpus for each bucket.

@@ -199,30 +199,42 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
 
 
 def op10_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document. Texts are read once; ids, sources and sizes go on."""
+    """Words that the mix takes of every document, with the first slot of the schedule that takes some and the number of such slots. Texts are read once; ids, sources and sizes go on."""
     sized = pinned(with_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
     plan = plan_sources(sized)
     facts = ["doc_id", "size", "source_size", "target"]
     # A row is told from its repeats by its place in the stream, as far as it has words.
     used = mixed(streams(sized.filter("size > 0"), plan), plan, [*facts, "source_index", "start"])
-    taken = used.groupBy(*facts, "source_index", "start").agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken"))
-    none = sized.filter("size = 0").join(_source_table(spark, plan), F.col("source").eqNullSafe(F.col("_mx_name"))).select(*facts, F.lit(0).cast("long").alias("taken"))
-    return taken.select(*facts, "taken").unionByName(none)
+    taken = used.groupBy(*facts, "source_index", "start").agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("first_slot"), F.count_if(F.col("words") > 0).cast("long").alias("slots"))
+    nothing = (F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("slots"))
+    none = sized.filter("size = 0").join(_source_table(spark, plan), F.col("source").eqNullSafe(F.col("_mx_name"))).select(*facts, *nothing)
+    return taken.select(*facts, "taken", "first_slot", "slots").unionByName(none)
 
 
+#: The van der Corput points are made here once more, in SQL, and the words follow from the slots.
 OP10_SQL = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source COLLATE C) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT *, CASE i % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
 o AS (SELECT *, sum(2 * source_size) OVER q - 2 * source_size AS capped, sum(weight) OVER () - sum(weight) OVER q + weight AS open_weight,
       sum(source_size) OVER () * 1.5::DOUBLE AS total FROM w WINDOW q AS (ORDER BY (2 * source_size)::DOUBLE / weight, i)),
 l AS (SELECT (total - capped)::DOUBLE / open_weight AS level FROM o WHERE (total - capped)::DOUBLE / open_weight <= (2 * source_size)::DOUBLE / weight
       ORDER BY (2 * source_size)::DOUBLE / weight, i LIMIT 1),
-t AS (SELECT w.source, w.source_size, least((2 * w.source_size)::DOUBLE, coalesce((SELECT level FROM l), 'inf'::DOUBLE) * w.weight) AS target FROM w),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, least(floor(t.target + 0.5)::BIGINT, 2 * t.source_size) AS words,
-      sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws(':', '{SEED}', d.doc_id)), d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size + greatest(0, least(size, words % source_size - start)) END::BIGINT AS taken
-FROM p
+t AS (SELECT w.source, w.i, w.source_size, least((2 * w.source_size)::DOUBLE, coalesce((SELECT level FROM l), 'inf'::DOUBLE) * w.weight) AS target FROM w),
+a AS (SELECT *, least(floor(target + 0.5)::BIGINT, 2 * source_size) AS words FROM t),
+b AS (SELECT greatest({MIN_BLOCK}, ((sum(words) + {MAX_SLOTS - 1}) // {MAX_SLOTS}))::BIGINT AS b FROM a),
+n AS (SELECT a.*, b.b, CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * ((source_size + b - 1) // b) + (words % source_size + b - 1) // b END AS need FROM a, b),
+e AS (SELECT *, sum(need) OVER (ORDER BY i) AS hi, sum(need) OVER (ORDER BY i) - need AS lo FROM n),
+m AS (SELECT CASE WHEN sum(need) > 1 THEN len(bin((sum(need) - 1)::BIGINT)) ELSE 0 END::INT AS m FROM n),
+v AS (SELECT slot, coalesce(list_sum(list_transform(range(m), lambda k: ((slot >> k::INT) & 1) << (m - 1 - k)::INT)), 0) AS point FROM (SELECT m, unnest(range((1::BIGINT << m))) AS slot FROM m)),
+k AS (SELECT slot, i, b, source_size, words, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS rank FROM v JOIN e ON point >= lo AND point < hi),
+g AS (SELECT slot, i, b, rank % ((source_size + b - 1) // b) AS block, rank // ((source_size + b - 1) // b) AS epoch, source_size, words FROM k),
+x AS (SELECT slot, i, block, least(b, source_size - block * b, words - epoch * source_size - block * b) AS take FROM g),
+p AS (SELECT d.r, d.size, e.i, e.b, sum(d.size) OVER (PARTITION BY e.i ORDER BY md5(concat_ws(':', '{SEED}', d.doc_id)), d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
+      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+c AS (SELECT r, i, b, size, start, unnest(range((start // b)::BIGINT, ((start + size - 1) // b + 1)::BIGINT)) AS block FROM p WHERE size > 0),
+f AS (SELECT c.r, x.slot, least(start + size, (c.block + 1) * b) - greatest(start, c.block * b) AS piece, x.take - (greatest(start, c.block * b) - c.block * b) AS room FROM c JOIN x ON c.i = x.i AND c.block = x.block),
+u AS (SELECT r, sum(least(piece, room)) AS taken, min(slot) AS first_slot, count(*) AS slots FROM f WHERE room > 0 GROUP BY r)
+SELECT d.doc_id, d.size::BIGINT AS size, t.source_size, t.target, coalesce(u.taken, 0)::BIGINT AS taken, u.first_slot::BIGINT AS first_slot, coalesce(u.slots, 0)::BIGINT AS slots
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN u USING (r)
 """
