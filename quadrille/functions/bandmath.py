@@ -28,6 +28,11 @@ def _tokens(text: str) -> list[tuple[str, str]]:
     return [*out, ("end", "")]
 
 
+def _real(c: Column) -> Column:
+    """``c``, null where it is no number or infinite."""
+    return F.when(F.abs(c) < float("inf"), c)
+
+
 def _call(name: str, args: list[Column]) -> Column:
     a, b = args[0], args[-1]
     if name == "abs":
@@ -37,9 +42,9 @@ def _call(name: str, args: list[Column]) -> Column:
     if name == "log":
         return F.when(a > 0, F.log(a))
     if name == "exp":
-        return F.exp(a)
+        return _real(F.exp(a))
     if name == "pow":
-        return F.pow(a, b)
+        return _real(F.pow(a, b))
     # least and greatest skip nulls; here null spreads
     return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b) if name == "min" else F.greatest(a, b))
 
@@ -80,12 +85,9 @@ def compile_expression(text: str, names: Mapping[str, Column], divide_by_zero: s
             take()
             args.append(total())
         take(")")
-        if len(args) < _ARITY[value] or (_ARITY[value] == 1 and len(args) > 1) or (value == "pow" and len(args) != 2):
+        if len(args) != _ARITY[value]:
             raise ValueError(f"{value} takes {_ARITY[value]} arguments")
-        out = args[0]
-        for b in args[1:]:
-            out = _call(value, [out, b])
-        return out if len(args) > 1 else _call(value, args)
+        return _call(value, args)
 
     def product() -> Column:
         out = factor()
@@ -107,4 +109,4 @@ def compile_expression(text: str, names: Mapping[str, Column], divide_by_zero: s
     result = total()
     if tokens[at][0] != "end":
         raise ValueError(f"unexpected {tokens[at][1]!r}")
-    return result
+    return _real(result)

@@ -116,9 +116,11 @@ def planes_of_view(lengths: dict[str, int], fixed: dict[str, int], ranges: dict[
     return n
 
 
-def read_at(df: DataFrame, source: Grid, target: Grid, method: str = "nearest", inverse: Callable | None = None, least_weight: float = 1.0) -> DataFrame:
+def read_at(df: DataFrame, source: Grid, target: Grid, method: str = "nearest", inverse: Callable | None = None, least_weight: float = 0.5) -> DataFrame:
     """``source``'s samples (``y, x, v``) at ``target``'s pixels; outside is null.
 
+    Bilinear weights of pixels outside or without data are left out, and the rest is renormalised if it holds ``least_weight``.
+
     ``inverse`` takes arrays of target coordinates to source coordinates where the CRS differ (no
     transforms are bundled). The target is generated, mapped by column arithmetic and joined with the
     source on its pixel numbers; the source is first cut to the window that is needed.
@@ -148,17 +150,16 @@ def read_at(df: DataFrame, source: Grid, target: Grid, method: str = "nearest",
         near = at.withColumns({"_x": F.when(inside, F.floor(F.col("sx") + 0.5).cast("int")), "_y": F.when(inside, F.floor(F.col("sy") + 0.5).cast("int"))})
         return near.join(pixels, ["_y", "_x"], "left").select("y", "x", "v")
     k = F.explode(F.array(*[F.lit(i) for i in range(4)]))
-    near = at.withColumn("inside", inside).withColumn("k", k)
+    near = at.withColumn("k", k)
     i, j = F.col("k") % 2, F.floor(F.col("k") / 2)
     x0, y0 = F.floor("sx"), F.floor("sy")
     taps = near.select(
         "y",
         "x",
-        "inside",
-        F.greatest(F.lit(0), F.least(F.lit(source.width - 1), x0 + i)).cast("int").alias("_x"),
-        F.greatest(F.lit(0), F.least(F.lit(source.height - 1), y0 + j)).cast("int").alias("_y"),
+        (x0 + i).cast("int").alias("_x"),
+        (y0 + j).cast("int").alias("_y"),
         (F.abs(1 - i - (F.col("sx") - x0)) * F.abs(1 - j - (F.col("sy") - y0))).alias("w"),
     )
     used = F.sum(F.when(F.col("v").isNotNull(), F.col("w")))
-    value = F.when(F.first("inside") & (used >= least_weight - 1e-12), F.sum(F.col("v") * F.col("w")) / used)
+    value = F.when(used >= least_weight - 1e-12, F.sum(F.col("v") * F.col("w")) / used)
     return taps.join(pixels, ["_y", "_x"], "left").groupBy("y", "x").agg(value.alias("v"))

@@ -5,30 +5,29 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import scalar
 from quadrille.operators import project, stencil
 
-#: Palettes by a rule: a few fixed RGB anchors of the published colour maps, linear in between.
-ANCHORS = {
-    "grayscale": [(0, 0, 0), (255, 255, 255)],
-    "viridis": [(68, 1, 84), (72, 40, 120), (62, 74, 137), (49, 104, 142), (38, 130, 142), (31, 158, 137), (53, 183, 121), (109, 205, 89), (180, 222, 44), (253, 231, 37)],
-    "magma": [(0, 0, 4), (28, 16, 68), (79, 18, 123), (129, 37, 129), (181, 54, 122), (229, 80, 100), (251, 135, 97), (254, 194, 135), (252, 253, 191)],
-    "inferno": [(0, 0, 4), (31, 12, 72), (85, 15, 109), (136, 34, 106), (186, 54, 85), (227, 89, 51), (249, 140, 10), (249, 201, 50), (252, 255, 164)],
-    "plasma": [(13, 8, 135), (75, 3, 161), (125, 3, 168), (168, 34, 150), (203, 70, 121), (229, 107, 93), (248, 148, 65), (253, 195, 40), (240, 249, 33)],
+# Positions and colours of the stops of each palette; linear in between.
+STOPS = {
+    "grayscale": [(0, (0, 0, 0)), (1, (255, 255, 255))],
+    "viridis": [(0, (68, 1, 84)), (0.13, (71, 44, 122)), (0.25, (59, 82, 139)), (0.38, (44, 113, 142)), (0.5, (33, 145, 140)), (0.63, (39, 173, 129)), (0.75, (94, 201, 98)), (0.88, (170, 220, 50)), (1, (253, 231, 37))],
+    "magma": [(0, (0, 0, 4)), (0.13, (28, 16, 68)), (0.25, (79, 18, 123)), (0.38, (129, 37, 129)), (0.5, (181, 54, 122)), (0.63, (229, 80, 100)), (0.75, (251, 135, 97)), (0.88, (254, 194, 135)), (1, (252, 253, 191))],
+    "inferno": [(0, (0, 0, 4)), (0.13, (31, 12, 72)), (0.25, (85, 15, 109)), (0.38, (136, 34, 106)), (0.5, (186, 54, 85)), (0.63, (227, 89, 51)), (0.75, (249, 140, 10)), (0.88, (249, 201, 50)), (1, (252, 255, 164))],
+    "plasma": [(0, (13, 8, 135)), (0.13, (75, 3, 161)), (0.25, (126, 3, 168)), (0.38, (168, 34, 150)), (0.5, (203, 70, 121)), (0.63, (229, 107, 93)), (0.75, (248, 148, 65)), (0.88, (253, 195, 40)), (1, (240, 249, 33))],
 }
 
 
 def palette(name: str) -> list[tuple[int, int, int]]:
-    a = ANCHORS[name]
-    out = []
-    for i in range(256):
-        at = i / 255 * (len(a) - 1)
-        k = min(int(at), len(a) - 2)
-        out.append(tuple(math.floor(p + (at - k) * (q - p) + 0.5) for p, q in zip(a[k], a[k + 1])))
-    return out
+    """256 colours, evenly spaced from 0 to 1."""
+    places = [at for at, _ in STOPS[name]]
+    colours = np.array([c for _, c in STOPS[name]], float)
+    steps = np.arange(256) / 255
+    return [tuple(c) for c in np.floor(np.stack([np.interp(steps, places, channel) for channel in colours.T], axis=1) + 0.5).astype(int).tolist()]
 
 
 def render(df: DataFrame, black: float, white: float, scale: str = "linear", colours: str = "grayscale") -> DataFrame:
@@ -40,11 +39,23 @@ def render(df: DataFrame, black: float, white: float, scale: str = "linear", col
     return df.select("y", "x", *[v.alias(c) for c, v in rgb.items()], F.when(F.col("v").isNull(), 0).otherwise(255).alias("a"))
 
 
-def relief(df: DataFrame, shade: DataFrame, strength: float = 1.0) -> DataFrame:
-    """Colours darkened by a shade 0..1 (``y, x, shade``)."""
-    lit = 0.35 + 0.65 * F.col("shade")
-    factor = 1 - strength + strength * lit
-    return df.join(shade, ["y", "x"]).withColumns({c: scalar.clamp(scalar.half_up(F.col(c) * factor), 0, 255).cast("int") for c in "rgb"}).drop("shade")
+def relief(df: DataFrame, plane: DataFrame, black: float, white: float, azimuth: float = 315.0, elevation: float = 45.0, strength: float = 0.5) -> DataFrame:
+    """A rendered plane (``y, x, r, g, b``) lit by the slopes of ``plane``: central differences in units of half the display range.
+
+    Outside the plane a neighbour is the pixel itself; where one has no data the colour stays as it is.
+    """
+    if not (0 <= elevation <= 90 and 0 <= strength <= 1):
+        raise ValueError("relief takes an elevation of 0 to 90 and a strength of 0 to 1")
+    a, e = math.radians(azimuth), math.radians(elevation)
+    # nodata is marked, so that it can be told from an absent neighbour
+    near = stencil._neighbours(plane.select("y", "x", F.struct(F.col("v").alias("v")).alias("v")))
+    at = lambda n: F.coalesce(F.col(n), F.col("c"))["v"]
+    slopes = near.select("y", "x", ((at("e") - at("w")) * 2 / (white - black)).alias("_dx"), ((at("sc") - at("nc")) * 2 / (white - black)).alias("_dy"))
+    length = F.sqrt(F.pow("_dx", 2) + F.pow("_dy", 2) + 1)
+    toward = (-F.col("_dx") * math.sin(a) * math.cos(e) + F.col("_dy") * math.cos(a) * math.cos(e) + math.sin(e)) / length
+    shade = F.when(toward < 0, 0.0).otherwise(toward)
+    lit = slopes.select("y", "x", F.coalesce(1 - strength + strength * (0.35 + 0.65 * shade), F.lit(1.0)).alias("_lit"))
+    return df.join(lit, ["y", "x"]).withColumns({c: scalar.clamp(scalar.half_up(F.col(c) * F.col("_lit")), 0, 255).cast("int") for c in "rgb"}).drop("_lit")
 
 
 def rotate(df: DataFrame, degrees: float, width: int, height: int, background: float = 0.0) -> tuple[DataFrame, int, int]:

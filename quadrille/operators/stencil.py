@@ -161,10 +161,13 @@ def fit_size(source: tuple[int, int], width: int | None, height: int | None, fit
 
 
 def _neighbours(df: DataFrame) -> DataFrame:
-    along = Window.partitionBy("y").orderBy("x")
-    rows = df.withColumns({"w": F.lag("v").over(along), "c": F.col("v"), "e": F.lead("v").over(along)})
-    down = Window.partitionBy("x").orderBy("y")
-    return rows.withColumns({f"{n}{k}": f(k).over(down) for k in "wce" for n, f in (("n", F.lag), ("s", F.lead))})
+    """``c`` and its eight neighbours; absent pixels are null. Every pixel names the nine places that read it, and those meet in one aggregation."""
+    names = {(dy, dx): n + w for dy, n in ((-1, "n"), (0, ""), (1, "s")) for dx, w in ((-1, "w"), (0, "c"), (1, "e"))}
+    at = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in names]))
+    read = df.select("y", "x", "v", at.alias("_p")).select((F.col("y") - F.col("_p.dy")).alias("y"), (F.col("x") - F.col("_p.dx")).alias("x"), "v", "_p")
+    here = lambda dy, dx: (F.col("_p.dy") == dy) & (F.col("_p.dx") == dx)
+    found = read.groupBy("y", "x").agg(*[F.max(F.when(here(*p), F.col("v"))).alias(n) for p, n in names.items()], F.max(here(0, 0)).alias("_own"))
+    return found.filter("_own").drop("_own")
 
 
 def gradient(df: DataFrame, cell_x: float = 1.0, cell_y: float = 1.0, z: float = 1.0, edge: str = "clamp", rows_north: bool = False) -> DataFrame:
