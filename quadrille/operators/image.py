@@ -35,7 +35,7 @@ def render(df: DataFrame, black: float, white: float, scale: str = "linear", col
     t = scalar.display_scale((F.col("v") - black) / (white - black), scale)
     at = scalar.half_up(t * 255).cast("int")
     table = palette(colours)
-    rgb = {c: F.coalesce(scalar.lookup(at, [p[k] for p in table]), F.lit(0)) for k, c in enumerate("rgb")}
+    rgb = {c: F.when(F.col("v").isNull(), 0).otherwise(scalar.lookup(at, [p[k] for p in table])) for k, c in enumerate("rgb")}
     return df.select("y", "x", *[v.alias(c) for c, v in rgb.items()], F.when(F.col("v").isNull(), 0).otherwise(255).alias("a"))
 
 
