@@ -9,9 +9,9 @@ below 1 in 100 million; those that do are verified on the whole sets.
 Texts of equal sets are one node, so that copies don't multiply. Below a key all nodes first meet only one, its
 centre, which is linear: the node whose keys are the most shared, which is likeliest the text that the others are copies of.
 In the next round those that are in other components than a key's new centre, a node outside of
-its largest part, meet that one. Nodes of keys that still hold more than one component get ``FINE_BANDS`` sharper
-keys of ``FINE_ROWS`` values, which texts with a similarity of 0.5 hardly ever share and 4 in 1,000 pairs at the limit miss, and all
-of different components that share one are compared. Pairs inside one component don't change it and are never made.
+its largest part, meet that one. Nodes of keys that still hold more than one component are compared by an exact prefix filter on their sets, the
+rarest shingles first: two sets at the limit share a shingle that leaves each of them enough others, and what no other node has is never shared, so that a text with
+many changes of its own links to nothing without a comparison. Pairs inside one component don't change it and are never made.
 
 SimHash keys can't do this: texts at the limit differ in 15 of 100 fingerprint bits, decode a 23-bit segment to the same Golay
 codeword in 12 of 100 cases, and would need over 500 keys each.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import pinned, text_or_empty
@@ -35,15 +35,14 @@ from quadrille.llm.components import connected_components
 from quadrille.llm.simhash import first_of_each
 
 SHINGLE, SIMILAR, HASHES, BANDS, ROWS, LEAST_EQUAL, SEED = 5, 0.8, 240, 64, 9, 150, 42
-#: The keys of nodes that no centre has linked.
-FINE_BANDS, FINE_ROWS = 400, 16
+#: Tables of so many short rows at most are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: Rounds in which a key's nodes meet one centre only.
 ROUNDS = 2
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: The hash functions of each band; bands share some.
 _CHOSEN = np.array([np.random.default_rng((SEED, band)).permutation(HASHES)[:ROWS] for band in range(BANDS)])
-_FINE = np.array([np.random.default_rng((SEED, 1, band)).permutation(HASHES)[:FINE_ROWS] for band in range(FINE_BANDS)])
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -79,15 +78,6 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def fine_keys(signature: bytes) -> np.ndarray:
-    """The sharper keys, of a signature."""
-    values = np.frombuffer(signature, np.uint16).astype(np.uint64)
-    key = np.arange(FINE_BANDS, dtype=np.uint64)
-    for row in values[_FINE].T:
-        key = _mixed(key * _BASE + row)
-    return key.view(np.int64)
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
@@ -129,11 +119,9 @@ def _compared(pairs: DataFrame, facts: DataFrame, what: str, alike) -> DataFrame
     return pinned(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Those of ``pairs`` (``u, v``; pinned) whose whole sets are similar; each node's set is made once more from one text."""
-    pairs = _compared(pairs, nodes, "signature", lambda a, b: np.count_nonzero(np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)) >= LEAST_EQUAL)
-    needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    wanted = pinned(nodes.join(needed, "node", "left_semi").select(F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash")))
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, s``: the sets of ``nodes``, each made once more from one text."""
+    wanted = pinned(nodes.select(F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,19 +130,48 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similar: float
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(made, pa.binary())], names=["node", "s"])
 
     slim = _slim(docs)
-    rows = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["_id"]) & (slim["text_hash"] == wanted["_hash"]), "left_semi").select("text")
-    known = pinned(rows.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    rows = slim.join(few, slim["doc_id"].eqNullSafe(wanted["_id"]) & (slim["text_hash"] == wanted["_hash"]), "left_semi").select("text")
+    return rows.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"])
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Those of ``pairs`` (``u, v``; pinned) whose whole sets are similar."""
+    pairs = _compared(pairs, nodes, "signature", lambda a, b: np.count_nonzero(np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)) >= LEAST_EQUAL)
+    needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    known = pinned(_sets(docs, nodes.join(needed, "node", "left_semi")))
     return _compared(pairs, known, "s", lambda a, b: similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similar)
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            if part.num_rows:
-                keys = np.concatenate([fine_keys(x.as_buffer()) for x in part.column(3)])
-                own = np.repeat(np.arange(part.num_rows), FINE_BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(part.column(i).to_numpy()[own]) for i in range(3))], names=["key", "node", "size", "root"])
+        for node, s in zip(batch.column(0), batch.column(1), strict=True):
+            tokens = np.frombuffer(s.as_buffer(), np.int64)
+            for at in range(0, len(tokens), 1 << 16):
+                part = tokens[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), node.as_py(), np.int64))], names=["token", "node"])
+
+
+def prefixes(sets: DataFrame, busy: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``token, node, size, root, left`` of the shingles by which nodes (``node, size, root``) of different roots could be similar.
+
+    The shingles of a set stand in the order of how many nodes have them; ``left`` is how many of them stand from this one on. Two sets' first
+    common shingle has all common ones from it on, in both; so it is one with ``left`` of ``similar`` times the set's size at least.
+    """
+    tokens = pinned(sets.mapInArrow(_shingle_rows, "token long, node long"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    ranked = tokens.join(shared, "token").withColumn("left", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("token"))))
+    kept = pinned(ranked.join(busy, "node").filter(F.col("left") >= similar * F.col("size") - 1e-6).select("token", "node", "size", "root", "left"))
+    mixed = kept.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("token")
+    return pinned(kept.join(mixed, "token"))
+
+
+def close(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``u, v`` of nodes of different roots that share one of ``rows`` (:func:`prefixes`) and have enough left there: all pairs that are similar, and others."""
+    a, b = rows.alias("a"), rows.alias("b")
+    enough = (1 + similar) * F.least("a.left", "b.left") >= similar * (F.col("a.size") + F.col("b.size")) - 1e-6
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & enough)
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
 def components(docs: DataFrame, prints: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -164,14 +181,14 @@ def components(docs: DataFrame, prints: DataFrame, rounds: int = ROUNDS) -> Data
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     multi = pinned(members.join(shared, "key"))
     scores = multi.groupBy("node").agg(F.sum("n").alias("score"))
-    multi = pinned(multi.drop("n").join(scores, "node"))
+    multi = pinned(multi.join(scores, "node"))
     alike = lambda a, b: F.least(a, b) >= SIMILAR * F.greatest(a, b)
     ends = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     edges = tried = None
     placed = multi.withColumn("root", F.col("node"))
     for number in range(rounds + 1):
         if number:
-            placed = pinned(multi.join(connected_components(edges), "node", "left").select("key", "node", "size", "score", F.coalesce("root", "node").alias("root")))
+            placed = pinned(multi.join(connected_components(edges), "node", "left").select("key", "node", "size", "score", "n", F.coalesce("root", "node").alias("root")))
         parts = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
         split = pinned(placed.join(parts.filter("parts > 1").select("key", F.col("main.root").alias("main")), "key"))
         if number < rounds:
@@ -180,13 +197,9 @@ def components(docs: DataFrame, prints: DataFrame, rounds: int = ROUNDS) -> Data
             met = split.join(centre, "key").filter((F.col("root") != F.col("centre.root")) & alike(F.col("size"), F.col("centre.size")))
             pairs = met.select(*ends(F.col("node"), F.col("centre.node"))).distinct()
         else:
-            busy = split.select("node", "size", "root").distinct().join(nodes.select("node", "signature"), "node")
-            keyed = pinned(busy.mapInArrow(_fine, "key long, node long, size long, root long"))
-            many = keyed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
-            keyed = pinned(keyed.join(many, "key"))
-            a, b = keyed.alias("a"), keyed.alias("b")
-            met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & alike(F.col("a.size"), F.col("b.size")))
-            pairs = met.select(*ends(F.col("a.node"), F.col("b.node"))).distinct()
+            # the two nodes of a key that has no third have met
+            busy = pinned(split.filter("n > 2").select("node", "size", "root").distinct())
+            pairs = close(prefixes(_sets(docs, nodes.join(busy, "node", "left_semi")), busy))
         pairs = pinned(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = verified(docs, nodes, pairs)
