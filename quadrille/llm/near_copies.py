@@ -1,8 +1,10 @@
-"""Near-copy dedup by five-word shingles: MinHash bands as candidate keys, exact Jaccard similarity as the rule.
+"""Near-copy dedup by five-word shingles: Golay keys of SimHash fingerprints and MinHash bands as candidate keys, exact Jaccard similarity as the rule.
 
 Two texts link if their sets of ``SHINGLE``-word shingles (words A-Z lower-cased) have a Jaccard similarity of
-``SIMILAR`` or more; a component keeps one document. A text has ``BANDS`` keys, each of the least values under ``ROWS`` of
-``HASHES`` hash functions; two texts at the limit share none in 14 of 10,000 cases (simulated; bands share functions).
+``SIMILAR`` or more; a component keeps one document. A text's 64-bit fingerprint has the keys of :mod:`quadrille.llm.simhash`, an equal segment and
+the Golay codewords of the next, of which texts within two bits always share one. Texts at the limit of similarity differ in some ten
+bits, so each has ``BANDS`` keys more, of the least values under ``ROWS`` of
+``HASHES`` hash functions; two texts at the limit share none of these in 14 of 10,000 cases (simulated; bands share functions).
 Candidates must agree in ``LEAST_EQUAL`` of the ``HASHES`` least values, which a pair at the limit misses with a probability
 below 1 in 100 million; those that do are verified on the whole sets.
 
@@ -13,7 +15,7 @@ its largest part, meet that one. Nodes of keys that still hold more than one com
 rarest shingles first: two sets at the limit share a shingle that leaves each of them enough others, and what no other node has is never shared, so that a text with
 many changes of its own links to nothing without a comparison. Pairs inside one component don't change it and are never made.
 
-SimHash keys can't do this: texts at the limit differ in 15 of 100 fingerprint bits, decode a 23-bit segment to the same Golay
+SimHash keys alone can't do this: texts at the limit differ in 15 of 100 fingerprint bits, decode a 23-bit segment to the same Golay
 codeword in 12 of 100 cases, and would need over 500 keys each.
 
 Defined results: texts shorter than a shingle have one of all their words; null and wordless texts are one
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import pinned, text_or_empty
 from quadrille.llm.components import connected_components
-from quadrille.llm.simhash import first_of_each
+from quadrille.llm.simhash import first_of_each, golay_keys
 
 SHINGLE, SIMILAR, HASHES, BANDS, ROWS, LEAST_EQUAL, SEED = 5, 0.8, 240, 64, 9, 150, 42
 #: Tables of so many short rows at most are broadcast; larger ones are joined by shuffle.
@@ -62,6 +64,14 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(_mixed(out)) if n else h
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set: a bit is 1 if it is set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(s), 1 << 16):
+        ones += np.unpackbits(s[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(s), bitorder="little").tobytes(), "little")
+
+
 def least_values(s: np.ndarray) -> np.ndarray:
     """The least value of a set under each hash function."""
     least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
@@ -92,15 +102,20 @@ def sketches(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("signature", pa.binary())])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, keys, signatures = [], [], [], []
+        for batch in filter(len, batches):
+            nodes, sizes, prints, keys, signatures = [], [], [], [], []
             for t in batch.column(2):
                 s = shingles(t.as_py())
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
                 sizes.append(len(s))
+                prints.append(fingerprint(s))
                 least = least_values(s)
                 keys.append(band_keys(least) if len(s) else ())
                 signatures.append(_mixed(least).astype(np.uint16).tobytes())
+            key, owner = golay_keys(np.array(prints, np.uint64).view(np.int64))
+            order = np.argsort(owner, kind="stable")
+            golay = np.split(key[order], np.searchsorted(owner[order], np.arange(1, len(prints))))
+            keys = [np.concatenate((k, g)) if len(k) else k for k, g in zip(keys, golay, strict=True)]
             node = pa.array(np.array(nodes, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], schema=schema)
 
