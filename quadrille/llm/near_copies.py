@@ -122,8 +122,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     return _slim(docs).mapInArrow(compute, "doc_id long, text_hash long, node long, size long, keys array<long>, signature binary")
 
 
+def _sided(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _compared(pairs: DataFrame, facts: DataFrame, what: str, alike) -> DataFrame:
-    """Those of ``pairs`` whose nodes' column ``what`` of ``facts`` agrees by ``alike(a, b)``."""
+    """Those of ``pairs`` (pinned) whose nodes' column ``what`` of ``facts`` agrees by ``alike(a, b)``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +135,8 @@ def _compared(pairs: DataFrame, facts: DataFrame, what: str, alike) -> DataFrame
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     left, right = facts.select(F.col("node").alias("u"), F.col(what).alias("a")), facts.select(F.col("node").alias("v"), F.col(what).alias("b"))
-    return pinned(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
+    few = _sided(pairs)
+    return pinned(left.join(few, "u").join(right.join(few.select("v"), "v", "left_semi"), "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -145,16 +150,15 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(made, pa.binary())], names=["node", "s"])
 
     slim = _slim(docs)
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = slim.join(few, slim["doc_id"].eqNullSafe(wanted["_id"]) & (slim["text_hash"] == wanted["_hash"]), "left_semi").select("text")
+    rows = slim.join(_sided(wanted), slim["doc_id"].eqNullSafe(wanted["_id"]) & (slim["text_hash"] == wanted["_hash"]), "left_semi").select("text")
     return rows.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"])
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Those of ``pairs`` (``u, v``; pinned) whose whole sets are similar."""
     pairs = _compared(pairs, nodes, "signature", lambda a, b: np.count_nonzero(np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)) >= LEAST_EQUAL)
-    needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    known = pinned(_sets(docs, nodes.join(needed, "node", "left_semi")))
+    needed = pinned(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    known = pinned(_sets(docs, nodes.join(_sided(needed), "node", "left_semi")))
     return _compared(pairs, known, "s", lambda a, b: similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similar)
 
 
@@ -194,16 +198,14 @@ def components(docs: DataFrame, prints: DataFrame, rounds: int = ROUNDS) -> Data
     nodes = pinned(prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("first"), F.min("signature").alias("signature")))
     members = prints.select("node", "size", "keys").dropDuplicates(["node"]).select("node", "size", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    multi = pinned(members.join(shared, "key"))
-    scores = multi.groupBy("node").agg(F.sum("n").alias("score"))
-    multi = pinned(multi.join(scores, "node"))
+    multi = pinned(members.join(shared, "key").withColumn("score", F.sum("n").over(Window.partitionBy("node"))))
     alike = lambda a, b: F.least(a, b) >= SIMILAR * F.greatest(a, b)
     ends = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    edges = tried = None
+    edges = tried = roots = None
     placed = multi.withColumn("root", F.col("node"))
     for number in range(rounds + 1):
         if number:
-            placed = pinned(multi.join(connected_components(edges), "node", "left").select("key", "node", "size", "score", "n", F.coalesce("root", "node").alias("root")))
+            placed = pinned(multi.join(_sided(roots), "node", "left").select("key", "node", "size", "score", "n", F.coalesce("root", "node").alias("root")))
         parts = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
         split = pinned(placed.join(parts.filter("parts > 1").select("key", F.col("main.root").alias("main")), "key"))
         if number < rounds:
@@ -214,13 +216,16 @@ def components(docs: DataFrame, prints: DataFrame, rounds: int = ROUNDS) -> Data
         else:
             # the two nodes of a key that has no third have met
             busy = pinned(split.filter("n > 2").select("node", "size", "root").distinct())
-            pairs = close(prefixes(_sets(docs, nodes.join(busy, "node", "left_semi")), busy))
+            pairs = close(prefixes(_sets(docs, nodes.join(_sided(busy), "node", "left_semi")), busy))
         pairs = pinned(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = verified(docs, nodes, pairs)
         edges = found if edges is None else edges.unionByName(found)
+        # a round that links nothing leaves the components as they are
+        if roots is None or found.limit(1).count():
+            roots = pinned(connected_components(edges))
 
-    grouped = nodes.join(connected_components(edges), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    grouped = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     return grouped.join(least, "root").select("node", "root", "component_id")
 
