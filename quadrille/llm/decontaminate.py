@@ -18,7 +18,7 @@ block that passes the bound starts the next pass over the documents.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,9 +174,9 @@ class FMIndex:
         return out
 
 
-def search_shard(texts: list[list[bytes]], phrases: Phrases, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Occurrences in each text: starts (word numbers), ends and phrase numbers."""
-    found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in texts]
+def search_shard(texts: Iterable[list[bytes]], phrases: Phrases, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Occurrences in each text: starts (word numbers), ends and phrase numbers. Of ``texts`` one is held at a time, as words take many times their bytes."""
+    found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
     ids, docs, places, held = [], [], [], 0
 
     def flush() -> None:
@@ -203,6 +203,7 @@ def search_shard(texts: list[list[bytes]], phrases: Phrases, window: int = WINDO
 
     get = phrases.vocabulary.get
     for number, words in enumerate(texts):
+        found.append([])
         for start in range(0, max(1, len(words)), shard_words):
             part = words[start : start + shard_words + window - 1]
             x = np.fromiter((get(w, 1) for w in part), np.int64, len(part))
@@ -322,7 +323,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
                 texts = batch.column(place).to_pylist()
                 # starts and ends in turn, of the blocks before
                 known = [np.array(x or (), np.int64) for x in batch.column(len(names)).to_pylist()] if batch.num_columns > len(names) else [np.zeros(0, np.int64)] * len(texts)
-                found = [np.concatenate([x, np.column_stack([a, b]).astype(np.int64).ravel()]) for x, (a, b, _) in zip(known, search_shard([words_of(t) for t in texts], sent.value, window), strict=True)]
+                found = [np.concatenate([x, np.column_stack([a, b]).astype(np.int64).ravel()]) for x, (a, b, _) in zip(known, search_shard(map(words_of, texts), sent.value, window), strict=True)]
                 columns = batch.columns[: len(names)]
                 if not last:
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], names=[*names, spans])
