@@ -37,8 +37,10 @@ from quadrille.llm.components import connected_components
 from quadrille.llm.simhash import first_of_each, golay_keys
 
 SHINGLE, SIMILAR, HASHES, BANDS, ROWS, LEAST_EQUAL, SEED = 5, 0.8, 240, 64, 9, 150, 42
-#: Tables of so many short rows at most are broadcast; larger ones are joined by shuffle.
+#: Tables of so many short rows at most are broadcast, and graphs of so many links worked out in one task; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
+#: Short rows, and whole sets, that a task of a small table has: each task more costs files and seconds of its own.
+TASK_ROWS, TASK_SETS = 20_000, 2_000
 #: Rounds in which a key's nodes meet one centre only.
 ROUNDS = 2
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -122,8 +124,39 @@ def sketches(docs: DataFrame) -> DataFrame:
     return _slim(docs).mapInArrow(compute, "doc_id long, text_hash long, node long, size long, keys array<long>, signature binary")
 
 
+def _count(df: DataFrame) -> int:
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism).count()
+
+
+def _packed(df: DataFrame, most: int | None = None, rows: int = TASK_ROWS) -> DataFrame:
+    """``df``, pinned, in no more partitions than its rows need; made in no more than ``most`` rows need, if it has no more."""
+    df = pinned(df if most is None else df.coalesce(1 + most // rows))
+    return df.coalesce(1 + _count(df) // rows)
+
+
 def _sided(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _count(df) <= BROADCAST_ROWS else df
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, root`` of the graph that all ``batches`` (``u, v``) make; a root is its component's least node."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
+    if parts:
+        u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+        nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+        root, before = np.arange(len(nodes)), None
+        while before is None or not np.array_equal(root, before):
+            before, a, b = root.copy(), root[ends[: len(u)]], root[ends[len(u) :]]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(root, further := root[root]):
+                root = further
+        for at in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 16)]), pa.array(nodes[root[at : at + (1 << 16)]])], names=["node", "root"])
+
+
+def roots_of(edges: DataFrame) -> DataFrame:
+    """:func:`connected_components`, of a small graph (pinned ``edges``) in one task."""
+    return edges.coalesce(1).mapInArrow(_united, "node long, root long") if _count(edges) <= BROADCAST_ROWS else connected_components(edges)
 
 
 def _compared(pairs: DataFrame, facts: DataFrame, what: str, alike) -> DataFrame:
@@ -136,12 +169,12 @@ def _compared(pairs: DataFrame, facts: DataFrame, what: str, alike) -> DataFrame
 
     left, right = facts.select(F.col("node").alias("u"), F.col(what).alias("a")), facts.select(F.col("node").alias("v"), F.col(what).alias("b"))
     few = _sided(pairs)
-    return pinned(left.join(few, "u").join(right.join(few.select("v"), "v", "left_semi"), "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
+    return _packed(left.join(few, "u").join(right.join(few.select("v"), "v", "left_semi"), "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, s``: the sets of ``nodes``, each made once more from one text."""
-    wanted = pinned(nodes.select(F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash")))
+    wanted = pinned(nodes.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,8 +190,8 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Those of ``pairs`` (``u, v``; pinned) whose whole sets are similar."""
     pairs = _compared(pairs, nodes, "signature", lambda a, b: np.count_nonzero(np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)) >= LEAST_EQUAL)
-    needed = pinned(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    known = pinned(_sets(docs, nodes.join(_sided(needed), "node", "left_semi")))
+    needed = _packed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), 2 * _count(pairs))
+    known = _packed(_sets(docs, nodes.join(_sided(needed), "node", "left_semi")), rows=TASK_SETS)
     return _compared(pairs, known, "s", lambda a, b: similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similar)
 
 
@@ -195,37 +228,44 @@ def close(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def components(docs: DataFrame, prints: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``node, root, component_id`` for the distinct nodes of ``prints`` (:func:`sketches`; pinned)."""
-    nodes = pinned(prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("first"), F.min("signature").alias("signature")))
-    members = prints.select("node", "size", "keys").dropDuplicates(["node"]).select("node", "size", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    multi = pinned(members.join(shared, "key").withColumn("score", F.sum("n").over(Window.partitionBy("node"))))
+    # pinned rows keep their numbers
+    prints = prints.withColumn("at", F.monotonically_increasing_id())
+    nodes = _packed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("at").alias("at")))
+    texts = prints.join(_sided(nodes.select("at")), "at", "left_semi")
+    texts = texts if _count(nodes) <= BROADCAST_ROWS else pinned(texts)
+    members = texts.select("node", "size", F.explode("keys").alias("key"))
+    shared = _packed(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    multi = _packed(members.join(_sided(shared), "key").withColumn("score", F.sum("n").over(Window.partitionBy("node"))))
+    most = _count(multi)
     alike = lambda a, b: F.least(a, b) >= SIMILAR * F.greatest(a, b)
     ends = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     edges = tried = roots = None
-    placed = multi.withColumn("root", F.col("node"))
+    split = multi.withColumn("root", F.col("node"))
     for number in range(rounds + 1):
         if number:
-            placed = pinned(multi.join(_sided(roots), "node", "left").select("key", "node", "size", "score", "n", F.coalesce("root", "node").alias("root")))
-        parts = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
-        split = pinned(placed.join(parts.filter("parts > 1").select("key", F.col("main.root").alias("main")), "key"))
+            placed = _packed(multi.join(_sided(roots), "node", "left").select("key", "node", "size", "score", "n", F.coalesce("root", "node").alias("root")), most)
+            parts = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
+            parts = _packed(parts.filter("parts > 1").select("key", F.col("main.root").alias("main")), most)
+            split = _packed(placed.join(_sided(parts), "key"), most)
         if number < rounds:
             centre = split.filter("root != main").groupBy("key") if number else split.groupBy("key")
-            centre = centre.agg(F.max(F.struct("score", "node", "size", "root")).alias("centre"))
-            met = split.join(centre, "key").filter((F.col("root") != F.col("centre.root")) & alike(F.col("size"), F.col("centre.size")))
+            centre = _packed(centre.agg(F.max(F.struct("score", "node", "size", "root")).alias("centre")), most)
+            met = split.join(_sided(centre), "key").filter((F.col("root") != F.col("centre.root")) & alike(F.col("size"), F.col("centre.size")))
             pairs = met.select(*ends(F.col("node"), F.col("centre.node"))).distinct()
+            pairs = _packed(pairs if tried is None else pairs.join(_sided(tried), ["u", "v"], "left_anti"), most)
         else:
             # the two nodes of a key that has no third have met
-            busy = pinned(split.filter("n > 2").select("node", "size", "root").distinct())
-            pairs = close(prefixes(_sets(docs, nodes.join(_sided(busy), "node", "left_semi")), busy))
-        pairs = pinned(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+            busy = _packed(split.filter("n > 2").select("node", "size", "root").distinct(), most)
+            pairs = close(prefixes(_sets(docs, texts.join(_sided(busy), "node", "left_semi")), busy))
+            pairs = _packed(pairs if tried is None else pairs.join(_sided(tried), ["u", "v"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = verified(docs, nodes, pairs)
+        found = verified(docs, texts, pairs)
         edges = found if edges is None else edges.unionByName(found)
         # a round that links nothing leaves the components as they are
         if roots is None or found.limit(1).count():
-            roots = pinned(connected_components(edges))
+            roots = _packed(roots_of(edges))
 
-    grouped = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    grouped = nodes.join(_sided(roots), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     return grouped.join(least, "root").select("node", "root", "component_id")
 
@@ -233,4 +273,5 @@ def components(docs: DataFrame, prints: DataFrame, rounds: int = ROUNDS) -> Data
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one with the least ``doc_id``. Columns as they are."""
     prints = pinned(sketches(docs))
-    return first_of_each(docs, prints.select("doc_id", "text_hash", "node").join(components(docs, prints), "node"))
+    placed = _packed(components(docs, prints))
+    return first_of_each(docs, prints.select("doc_id", "text_hash", "node").join(_sided(placed), "node"), _sided)

@@ -19,7 +19,7 @@ component's least id only if it has no other; repeated rows stay; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -164,12 +164,12 @@ def components(prints: DataFrame) -> DataFrame:
     return grouped.join(least, "root").select("fp", "root", "component_id")
 
 
-def first_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """``docs`` with one row of each root of ``placed`` (``doc_id, text_hash, root, component_id`` of every row)."""
+def first_of_each(docs: DataFrame, placed: DataFrame, sided: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``docs`` with one row of each root of ``placed`` (``doc_id, text_hash, root, component_id`` of every row); ``sided`` may mark the table of these rows for a broadcast."""
     kept = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash", "root")
     each = pinned(kept.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count("*").alias("n")).select(F.col("k.doc_id").alias("_sim_id"), F.col("k.text_hash").alias("_sim_hash"), "n"))
     found = docs.withColumn("_sim_h", F.xxhash64(text_or_empty()))
-    rows = found.join(each, F.col("doc_id").cast("long").eqNullSafe(F.col("_sim_id")) & (F.col("_sim_h") == F.col("_sim_hash")), "left_semi")
+    rows = found.join(sided(each), F.col("doc_id").cast("long").eqNullSafe(F.col("_sim_id")) & (F.col("_sim_h") == F.col("_sim_hash")), "left_semi")
     if each.filter("n > 1").limit(1).count():
         rows = rows.dropDuplicates(["doc_id", "_sim_h"])
     return rows.drop("_sim_h")
