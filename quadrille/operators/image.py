@@ -59,19 +59,42 @@ def relief(df: DataFrame, plane: DataFrame, black: float, white: float, azimuth:
 
 
 def rotate(df: DataFrame, degrees: float, width: int, height: int, background: float = 0.0) -> tuple[DataFrame, int, int]:
-    """Clockwise by any angle: each target pixel is mapped back and read from its four neighbours; what lies outside is background."""
+    """Clockwise by any angle: each target pixel is mapped back and read from its four neighbours; what lies outside is background.
+
+    The canvas of a long narrow image grows with the square of its length. Only the span of each line that the image
+    can reach is joined with it, in cells of four samples; the rest is generated and never moves between tasks.
+    """
     a = math.radians(degrees)
     cos, sin = math.cos(a), math.sin(a)
     w, h = math.ceil(abs(width * cos) + abs(height * sin) - 1e-9), math.ceil(abs(width * sin) + abs(height * cos) - 1e-9)
     dx, dy = F.col("x") + 0.5 - w / 2, F.col("y") + 0.5 - h / 2
-    target = df.sparkSession.range(w * h).select((F.col("id") % w).cast("int").alias("x"), F.expr(f"CAST(id DIV {w} AS INT)").alias("y"))
-    mapped = target.withColumns({"sx": dx * cos + dy * sin + width / 2 - 0.5, "sy": -dx * sin + dy * cos + height / 2 - 0.5})
-    near = mapped.withColumns({"x0": F.floor("sx").cast("int"), "y0": F.floor("sy").cast("int")}).withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-    i, j = F.col("k") % 2, F.floor(F.col("k") / 2).cast("int")
-    at = near.select("y", "x", (F.col("x0") + i).alias("_x"), (F.col("y0") + j).alias("_y"), (F.abs(1 - i - (F.col("sx") - F.col("x0"))) * F.abs(1 - j - (F.col("sy") - F.col("y0")))).alias("_w"))
-    source = df.select(F.col("y").alias("_y"), F.col("x").alias("_x"), "v")
-    out = at.join(source, ["_y", "_x"], "left").groupBy("y", "x").agg(F.sum(F.coalesce("v", F.lit(float(background))) * F.col("_w")).alias("v"))
-    return out, w, h
+    sx, sy = dx * cos + dy * sin + width / 2 - 0.5, -dx * sin + dy * cos + height / 2 - 0.5
+    # the first and last x of a line from which -1 <= sx < width and -1 <= sy < height, and a pixel more on either side
+    lo, hi = [F.lit(0)], [F.lit(w - 1)]
+    for slope, rest, size in ((cos, dy * sin + width / 2 - 0.5, width), (-sin, dy * cos + height / 2 - 0.5, height)):
+        if abs(slope) > 1e-9:
+            ends = [(end - rest) / slope + w / 2 - 0.5 for end in ((-1, size) if slope > 0 else (size, -1))]
+            lo.append(F.floor(ends[0]) - 1)
+            hi.append(F.ceil(ends[1]) + 1)
+    spans = {"_lo": F.least(F.greatest(*lo), F.lit(w)).cast("int"), "_hi": F.greatest(F.least(*hi), F.lit(-1)).cast("int")}
+    session, blank = df.sparkSession, F.lit(float(background))
+
+    lines = session.range(h).select(F.col("id").cast("int").alias("y")).withColumns(spans)
+    reached = lines.filter("_lo <= _hi").select("y", F.explode(F.sequence("_lo", "_hi")).alias("x"))
+    at = reached.select("y", "x", F.floor(sy).cast("int").alias("_y"), F.floor(sx).cast("int").alias("_x"))
+    i, j = F.col("k") % 2, F.expr("CAST(k DIV 2 AS INT)")
+    taps = df.filter(F.col("v").isNotNull() & F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+    cells = taps.groupBy((F.col("y") - j).alias("_y"), (F.col("x") - i).alias("_x")).agg(*[F.sum(F.when(F.col("k") == k, F.col("v"))).alias(f"_{k}") for k in range(4)])
+    fx, fy = sx - F.col("_x"), sy - F.col("_y")
+    value = sum(F.coalesce(f"_{k}", blank) * (fx if k % 2 else 1 - fx) * (fy if k // 2 else 1 - fy) for k in range(4))
+    image = at.join(cells, ["_y", "_x"], "left").select("y", "x", value.alias("v"))
+
+    # pieces of 256 pixels, column of pieces by column: in files these repeat, so that they take little room
+    pieces = -(-w // 256) * h
+    piece = session.range(0, pieces, 1, pieces // 2**14 + 1).select(F.expr(f"CAST(id % {max(h, 1)} AS INT)").alias("y"), F.expr(f"CAST(id DIV {max(h, 1)} * 256 AS INT)").alias("_from")).withColumns(spans)
+    pixels = piece.select("y", "_lo", "_hi", F.explode(F.sequence("_from", F.least(F.col("_from") + 255, F.lit(w - 1)))).alias("x"))
+    around = pixels.filter("x < _lo OR x > _hi").select("y", "x", blank.alias("v"))
+    return image.unionByName(around), w, h
 
 
 @dataclass(frozen=True)
